@@ -5,13 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
-from .common import table
+from . import jaccard, langid, licenses, mixing, sharding, topk, toxicity
+from .common import Scratch, bucket_of, table
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = toxicity.learn(docs, table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) != 0)
+    out = toxicity.score(docs, *learned)
+    return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.profiles(docs, bucket_of("doc_id", 3) != 1))
+    return out.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP5_SQL = """
+WITH parts AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), whole AS (
+  SELECT vec_id, i, floor(256 * x)::BIGINT AS v FROM parts
+  WHERE vec_id NOT IN (SELECT vec_id FROM parts WHERE x IS NULL OR isnan(x) OR isinf(x))
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.v * c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    d = Scratch(spark).save(d.select("doc_id", size.alias("size"), crc.alias("text_crc32")))
+    out = sharding.shuffle_to_shards(d, ["doc_id", "text_crc32", "size"], 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op1_toxicity_grammar": op1_toxicity_grammar,
+    "op2_license_scan": op2_license_scan,
+    "op3_hypergeometric_sharding": op3_hypergeometric_sharding,
+    "op4_rank_order_language_id": op4_rank_order_language_id,
+    "op5_segment_top_k": op5_segment_top_k,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_sainte_lague_mixing": op7_sainte_lague_mixing,
+}
+ORACLES: dict[str, str] = {"op5_segment_top_k": OP5_SQL}

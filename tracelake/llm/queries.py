@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, mixing, sharding, topk, toxicity
+from . import jaccard, langid, licenses, mixing, sharding, substrings, topk, toxicity
 from .common import Scratch, bucket_of, table
 
 
@@ -64,6 +64,10 @@ def op7_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_toxicity_grammar": op1_toxicity_grammar,
     "op2_license_scan": op2_license_scan,
@@ -72,5 +76,6 @@ QUERIES = {
     "op5_segment_top_k": op5_segment_top_k,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sainte_lague_mixing": op7_sainte_lague_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op5_segment_top_k": OP5_SQL}

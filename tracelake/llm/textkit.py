@@ -116,3 +116,41 @@ def shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     begin, end, first = word_spans(low, at)
     return shingle_hashes(word_hashes(low, begin, end), first, width)
+
+
+PLACE_BITS = 24
+
+
+def minimum_runs(values: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of `width` values within one text: where each smallest value stands (leftmost of equal ones, by 40 bits), and the first and last window
+    that it is the smallest of. These are the nodes of the texts' Cartesian trees whose subtree has at least `width` values."""
+    empty = (np.zeros(0, np.int64),) * 3
+    n = len(values)
+    if n < width:
+        return empty
+    ok = np.zeros(n - width + 1, bool)
+    size = np.diff(at)
+    edge = np.zeros(n + 1, np.int64)
+    long = size >= width
+    np.add.at(edge, at[:-1][long], 1)
+    np.add.at(edge, (at[1:] - width + 1)[long], -1)
+    ok = np.cumsum(edge)[: n - width + 1] > 0
+    step, found = (1 << PLACE_BITS) - width, []
+    for base in range(0, n - width + 1, step):
+        part = values[base : base + step + width - 1]
+        low = (part >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(part), dtype=np.uint64)
+        reach = 1
+        while 2 * reach <= width:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if reach < width:
+            low = np.minimum(low[: -(width - reach)], low[width - reach :])
+        place = (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + base
+        good = ok[base : base + len(place)]
+        start = good.copy()
+        start[1:] &= (place[1:] != place[:-1]) | ~good[:-1]
+        stop = good.copy()
+        stop[:-1] &= (place[1:] != place[:-1]) | ~good[1:]
+        first, last = np.flatnonzero(start), np.flatnonzero(stop)
+        found.append((place[first], first + base, last + base))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else empty

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, mixing, sharding, substrings, topk, toxicity
+from . import decontam, jaccard, langid, licenses, mixing, passages, sharding, substrings, topk, toxicity
 from .common import Scratch, bucket_of, table
 
 
@@ -64,6 +64,14 @@ def op7_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -76,6 +84,8 @@ QUERIES = {
     "op5_segment_top_k": op5_segment_top_k,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sainte_lague_mixing": op7_sainte_lague_mixing,
+    "op8_template_decontamination": op8_template_decontamination,
+    "op9_compact_windows": op9_compact_windows,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op5_segment_top_k": OP5_SQL}

@@ -99,9 +99,10 @@ def discover_fields(df: DataFrame, objects: list[str], sample: int | None = 5000
         df = (df.orderBy(F.col(order_by).asc_nulls_last()) if order_by else df).limit(sample)
     plain = [c for c in df.columns if c not in objects]
     pairs = [F.struct(F.lit("column").alias("where"), F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in plain]
-    cells = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    parts = [df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")] if pairs else []
     for c in objects:
-        cells = cells.unionByName(df.select(F.explode(F.from_json(c, "map<string,string>")).alias("field", "value")).select(F.lit(c).alias("where"), "field", "value"))
+        parts.append(df.select(F.explode(F.from_json(c, "map<string,string>")).alias("field", "value")).select(F.lit(c).alias("where"), "field", "value"))
+    cells = reduce(DataFrame.unionByName, parts)
     cells = cells.where("value is not null and value <> ''")
     found = cells.groupBy("field", "where").agg(F.count("*").alias("seen_in_sample"), F.substring(F.min("value"), 1, 80).alias("example"))
     return found.orderBy(F.col("where") != "column", F.col("seen_in_sample").desc(), "field")

@@ -116,7 +116,7 @@ class Case:
 
     def tables(self) -> dict[str, DataFrame]:
         """Each table as of now: a fixed list of files."""
-        return {t: self.spark.read.schema(schema(t)).option("basePath", f"{self.root}").parquet(*files) for t, files in self.manifest()["catalog"].items() if files}
+        return {t: self.spark.read.schema(schema(t)).option("basePath", f"{self.root}/lake/{t}").parquet(*files).select(*schema(t).names) for t, files in self.manifest()["catalog"].items() if files}
 
     def table(self, name: str) -> DataFrame:
         """The table in its order; empty if nothing was ingested into it."""
@@ -134,7 +134,7 @@ class Case:
     def write(self, table: str, df: DataFrame, batch: str | None = None) -> list[str]:
         """Canonical rows as Parquet files of a new workspace; nothing sees them before commit()."""
         batch = batch or uuid.uuid4().hex
-        work = f"{self.root}/lake/{table}/{batch}"
+        work = f"{self.root}/lake/{table}/batch={batch}"
         by = partition_by(table)
         rows = cast_columns(df, table, batch)
         # Partition columns stay in the files too, so that a reader needs no path parsing and null or empty values survive.
@@ -201,8 +201,8 @@ class Case:
             for group in groups.values():
                 if len(group) < least or sum(map(os.path.getsize, group)) > GROUP:
                     continue
-                work = f"{self.root}/lake/{t}/{uuid.uuid4().hex}"
-                rows = self.spark.read.schema(schema(t)).parquet(*group)
+                work = f"{self.root}/lake/{t}/batch={uuid.uuid4().hex}"
+                rows = self.spark.read.schema(schema(t)).option("basePath", f"{self.root}/lake/{t}").parquet(*group).select(*schema(t).names)
                 by = partition_by(t)
                 rows.coalesce(1).select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"p_{c}") for c in by)).write.partitionBy(*(f"p_{c}" for c in by)).option("compression", "zstd").parquet(work)
                 made = sorted(str(p) for p in Path(work).rglob("*.parquet"))

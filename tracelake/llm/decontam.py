@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template words: numbers, names (capitalised inside a sentence) and units (after a number) turn into typed placeholders, others are lower-cased.
+Words become template words: numbers, names (capitalised inside a sentence, not all capitals) and units (after a number) turn into typed placeholders, others are lower-cased.
 Windows of WIDTH template words of the benchmark are hashed and joined with those of every document. Matches of one item that lie along the same course in a document make a
 candidate; it counts if it holds SHARE percent of the item's windows and its slots are consistent: equal values in the item have equal values in the document.
 """
@@ -52,7 +52,8 @@ def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         return plain, plain, np.zeros(0, bool), first, plain
     digits = np.add.reduceat(DIGIT[data].astype(np.int64), np.stack([begin, end], 1).ravel()[:-1])[::2] == end - begin
     number = digits
-    capital = (data[begin] >= 0x41) & (data[begin] <= 0x5A)
+    second = data[np.minimum(begin + 1, end - 1)]
+    capital = (data[begin] >= 0x41) & (data[begin] <= 0x5A) & ~((second >= 0x41) & (second <= 0x5A))
     stops = np.concatenate([[0], np.cumsum(ENDS[data])])
     opens = np.ones(len(begin), bool)
     opens[1:] = stops[begin[1:]] > stops[end[:-1]]

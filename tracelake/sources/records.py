@@ -42,7 +42,7 @@ def tomcat(df: DataFrame) -> DataFrame:
     d = _joined(islands(df, F.col("line").rlike(TOMCAT)))
     h = F.col("head")
     message = F.concat_ws("\n", g(TOMCAT, 5, h), F.array_join("body", "\n"))
-    return d.select("file", "record", (F.size("body") <= LIMIT).alias("ok"), _time(g(TOMCAT, 1, h), "dd-MMM-yyyy HH:mm:ss.SSS").alias("time_created"), g(TOMCAT, 2, h).alias("severity"), g(TOMCAT, 3, h).alias("pid_or_thread"), g(TOMCAT, 4, h).alias("logger"), F.rtrim(F.lit("\n"), message).alias("message"))
+    return d.select("file", "record", (F.size("body") <= LIMIT).alias("ok"), _time(g(TOMCAT, 1, h), "dd-MMM-yyyy HH:mm:ss.SSS").alias("time_created"), g(TOMCAT, 2, h).alias("severity"), g(TOMCAT, 3, h).alias("pid_or_thread"), g(TOMCAT, 4, h).alias("logger"), F.rtrim(message, F.lit("\n")).alias("message"))
 
 
 def mysql_general(df: DataFrame) -> DataFrame:

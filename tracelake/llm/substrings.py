@@ -25,8 +25,8 @@ from .textkit import BYTE_CODE, MULT, TOKEN_BITS, flat, minimum_runs, mix, slice
 
 LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM
-RUN = 1 << 15
-EVALUATE = 4096
+#: Suffixes of one run, suffixes checked at once, and bytes of text for each range of the exchange: together they bound a task's memory.
+RUN, EVALUATE, RANGE_BYTES = 1 << 14, 2048, 4 << 20
 
 RUNS = "part int, kind int, a binary, b binary, c binary, d binary"
 COVERS = "key long, begin long, end long"
@@ -249,10 +249,8 @@ def _merge(batches):
         for r in runs:
             meta = np.frombuffer(r["d"], np.int64).reshape(-1, 3)
             n = len(meta)
-            sizes = np.frombuffer(r["c"][:n], np.uint8)
-            ends = (n + np.cumsum(sizes, dtype=np.int64)).tolist()
-            lefts.append([r["c"][a:b] for a, b in zip([n, *ends[:-1]], ends, strict=True)])
-            metas.append(meta.tolist())
+            lefts.append((r["c"], n + np.concatenate([[0], np.cumsum(np.frombuffer(r["c"][:n], np.uint8), dtype=np.int64)])))
+            metas.append(meta)
         members: list[tuple] = []
         pending: list[tuple] = []
         group = 0
@@ -270,7 +268,8 @@ def _merge(batches):
                 if len(members) >= EVALUATE:
                     yield emit(_windows(members))
                     members.clear()
-            pending.append((group, s, lefts[r][k], *metas[r][k]))
+            left, ends = lefts[r]
+            pending.append((group, s, left[ends[k] : ends[k + 1]], *metas[r][k].tolist()))
         close()
         if members:
             yield emit(_windows(members))
@@ -309,7 +308,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     shared = shared_tokens(d.select(F.col("key").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH), _tokenize, False)
     shared = scratch.save(shared.where("toks is not null").groupBy(F.col("doc_id").alias("key")).agg(F.first("toks").alias("toks")))
-    ranges = partitions(docs)
+    ranges = partitions(docs, RANGE_BYTES)
     hold = d.select("key", "text").join(shared.hint("shuffle_hash"), "key")
     covers = hold.mapInArrow(_runs(ranges), RUNS).repartition(ranges, "part").mapInArrow(_merge, COVERS)
     covers = covers.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("covers"))

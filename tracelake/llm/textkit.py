@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 TOKEN_BITS = 50
 TOKEN_MASK = np.uint64((1 << TOKEN_BITS) - 1)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)

@@ -50,7 +50,8 @@ def _anchors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), data, at
     h = np.concatenate([h, np.zeros(GRAM - 1, np.uint64)])
     place, _, _ = minimum_runs_of_bytes(h, at)
-    return place, h[place] >> np.uint64(64 - TOKEN_BITS), data, at
+    # Anchors have small hashes, so they are mixed again to spread over the ranges.
+    return place, mix(h[place]) >> np.uint64(64 - TOKEN_BITS), data, at
 
 
 def minimum_runs_of_bytes(h: np.ndarray, at: np.ndarray):

@@ -17,6 +17,8 @@ from .textkit import slices
 
 #: Documents of each language that a profile is learned from.
 SAMPLE = 1000
+#: Times SAMPLE that are expected below the hash that the sample is taken from.
+SLACK = 4
 #: N-grams of a profile.
 RANKS = 300
 NOT_LETTERS = r"[^\p{L}]+"
@@ -64,8 +66,11 @@ def _count(batches):
 def profiles(docs: DataFrame, learn: Column) -> dict[str, list[int]]:
     """The most frequent n-grams of each language, first the most frequent: at most RANKS numbers a language come to the driver."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = chosen.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("doc_id").distinct()
+    hashed = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # So that one task never gets all rows of a language, only those with a small hash go on: about SLACK times SAMPLE documents, once each.
+    share = hashed.groupBy(F.col("lang").alias("_lang")).agg((F.lit(SLACK * SAMPLE) / F.approx_count_distinct("h")).alias("_share"))
+    small = hashed.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("_share"))  # a row a language
+    chosen = small.select("doc_id", "lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= SAMPLE).select("doc_id").distinct()
     # SAMPLE ids a language: bounded, so they are broadcast.
     texts = docs.where(learn & F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
     grams = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ from tracelake.functions.casts import timestamp
 from tracelake.functions.values import entropy, json_member
 from tracelake.operators import heuristics, sigma, views
 from tracelake.operators.search import Condition, UnknownFieldError, search
-from tracelake.sources import lines, records
+from tracelake.sources import lines, records, whole
 from tracelake.sources.classify import classify, decode
 from tracelake.sources.lake import Case, source_arg
 
@@ -131,3 +131,50 @@ def test_case(spark, tmp_path):
     assert case.table("web_logs").count() == 2
     assert views.to_csv(case.table("web_logs"), str(tmp_path / "o.csv")) == 2
     assert [len(p) for p in views.chunks(case.table("web_logs"), 1)] == [1, 1]
+
+
+TASK = """<?xml version="1.0" encoding="UTF-16"?>
+<Task xmlns="http://schemas.microsoft.com/windows/2004/02/mit/task"><RegistrationInfo><Author> ops </Author><Date>2025-03-05T10:00:01</Date></RegistrationInfo>
+<Triggers><LogonTrigger><Enabled>true</Enabled></LogonTrigger><BootTrigger/></Triggers><Settings><Hidden>TRUE</Hidden></Settings>
+<Actions><ComHandler><ClassId>c</ClassId></ComHandler><Exec><Command>run.exe</Command><X>1</X><X>2</X></Exec></Actions></Task>"""
+
+
+def test_httperr(spark):
+    d = of(spark, "#Fields: date time c-ip c-port cs-uri sc-status s-siteid s-reason", "2025-03-05 10:00:01 1.2.3.4 99 /x 503 - Timer", "- 10:00:01 1.2.3.4 99 /x - 1 -", "short")
+    a, b, c = records.iis_httperr(d).orderBy("line_no").collect()
+    assert (a.time_created, a.client_port, a.uri, a.status, a.message, a.extra) == (dt.datetime(2025, 3, 5, 10, 0, 1), "99", "/x", "503", "Timer", '{"s-siteid":null}')
+    assert (b.time_created, b.status, b.message, c.ok) == (None, None, None, False)
+
+
+def test_exchange(spark):
+    raw = lambda text: spark.createDataFrame([("f", bytearray(text.encode()))], "file string, content binary")
+    t = whole.exchange_tracking(raw('early\n#Fields: date-time,client-ip,total-bytes,x-own\n2025-03-05T10:00:01.250Z,,12,"a ""b""\r\n#c"\nshort\n2025-03-05,1.2.3.4,x,\n1,2,"open')).orderBy("line_no").collect()
+    assert [r.ok for r in t] == [False, True, False, True, False]
+    assert (t[1].time_created, t[1].client_ip, t[1].total_bytes, t[1].extra) == (dt.datetime(2025, 3, 5, 10, 0, 1, 250000), None, "12", '{"x-own":"a \\"b\\"\\r\\n#c"}')
+    assert (t[3].time_created, t[3].client_ip, t[3].extra) == (None, "1.2.3.4", '{"x-own":null}')
+    g = whole.exchange_generic(raw("#Log-type: Transport\n#Fields: DateTime,a\n2025-03-05 10:00:01,\n")).first()
+    assert (g.log_type, g.time_created, g.fields) == ("Transport", dt.datetime(2025, 3, 5, 10, 0, 1), '{"DateTime": "2025-03-05 10:00:01", "a": ""}')
+
+
+def test_scheduled_tasks():
+    row = whole.read_task("/c/Windows/Tasks/A/job", TASK.encode("utf-16"))
+    assert (row["task_path"], row["task_name"], row["author"], row["hidden"], row["enabled"]) == ("\\A\\job", "job", "ops", "true", None)
+    assert (row["action_command"], row["action_types"], row["trigger_types"]) == ("run.exe", "ComHandler,Exec", "LogonTrigger,BootTrigger")
+    assert '{"type": "Exec", "Command": "run.exe", "X": ["1", "2"]}' in row["actions"]
+    assert whole.task_path("/x/y") == "\\y"
+    for bad in ("<!DOCTYPE x><Task/>", "<Task>", "<Other/>", ""):
+        assert whole.read_task("f", bad.encode()) is None
+
+
+def test_case_of_whole_files(spark, tmp_path):
+    (tmp_path / "in/Tasks").mkdir(parents=True)
+    (tmp_path / "in/Tasks/a +b").write_bytes(TASK.encode("utf-16"))
+    (tmp_path / "in/Tasks/cut").write_bytes(TASK[:300].encode("utf-16"))
+    (tmp_path / "in/t.log").write_text("#Software: Microsoft Exchange Server\n#Log-type: Transport\n#Fields: date-time,a\n2025-03-05T10:00:01Z,1\nbad\n")
+    (tmp_path / "in/h.log").write_text("#Software: Microsoft HTTP API 2.0\n#Fields: date time c-ip s-reason\n2025-03-05 10:00:01 1.2.3.4 Timer\n")
+    case = Case.create(spark, "w", str(tmp_path))
+    report = {r["source_file"]: (r["status"], r["rows"], r["errors"]) for r in case.ingest([f"{tmp_path}/in:box"])}
+    assert report == {"a +b": ("ok", 1, 0), "cut": ("failed", 0, 1), "t.log": ("partial", 1, 1), "h.log": ("ok", 1, 0)}
+    task = case.table("scheduled_tasks").first()
+    assert (task.task_path, task.hidden, task.date_registered, task.host) == ("\\a +b", True, dt.datetime(2025, 3, 5, 10, 0, 1), "box")
+    assert case.table("exchange_logs").first().log_type == "Transport" and case.table("web_error_logs").first().log_type == "iis_httperr"

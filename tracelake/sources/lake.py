@@ -16,12 +16,12 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import cast_columns
 from ..plans.schemas import TABLES, partition_by, schema, sort_key
-from . import lines, records
+from . import lines, records, whole
 from .classify import classify, web_log_type
 
 SMALL, GROUP = 8 << 20, 256 << 20
@@ -73,7 +73,16 @@ KINDS = {
     "web_access": ("web_logs", lines.clf), "web_error_nginx": ("web_error_logs", lines.nginx_error), "web_error_apache": ("web_error_logs", lines.apache_error), "web_error_tomcat": ("web_error_logs", records.tomcat),
     "auditd": ("auditd_logs", lines.auditd), "journal_export": ("journal_logs", lines.journal), "mysql_error": ("db_logs", lines.mysql_error), "postgresql": ("db_logs", lines.postgresql), "mssql": ("db_logs", lines.mssql),
     "mysql_general": ("db_logs", records.mysql_general), "mysql_slow": ("db_logs", records.mysql_slow), "oracle_alert": ("db_logs", records.oracle_alert), "iis": ("web_logs", records.iis), "syslog": ("syslog", None),
+    "iis_httperr": ("web_error_logs", records.iis_httperr),
 }
+#: Parsers of bytes of whole files.
+WHOLE = {"exchange_message_tracking": ("exchange_message_tracking", whole.exchange_tracking), "exchange_generic": ("exchange_logs", whole.exchange_generic), "scheduled_task": ("scheduled_tasks", whole.scheduled_task)}
+KINDS |= WHOLE
+
+
+def _file() -> Column:
+    """The local path of the file that a row was read from; a plus sign in it is no blank."""
+    return F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("file")
 
 
 class Case:
@@ -167,15 +176,19 @@ class Case:
             table, parse = KINDS[kind]
             mine = [f for f in todo if f["kind"] == kind]
             info = self.spark.createDataFrame([(f["source_path"], f["source_file"], f["host"], f["file_sha256"], f["year"], web_log_type(f["source_path"])) for f in mine], "file string, source_file string, host string, file_sha256 string, year int, wt string")
-            raw = self.spark.read.text([f["source_path"] for f in mine], wholetext=True).select(F.regexp_replace(F.url_decode(F.input_file_name()), "^file:/*", "/").alias("file"), "value")
-            text = raw.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
+            paths = [f["source_path"] for f in mine]
+            if kind in WHOLE:
+                text = self.spark.read.format("binaryFile").load(paths).select(_file(), "content")
+            else:
+                raw = self.spark.read.text(paths, wholetext=True).select(_file(), "value")
+                text = raw.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
             if kind == "syslog":
                 text = text.join(F.broadcast(info.select("file", "year")), "file")
                 modern = F.col("line").rlike(lines.RFC5424)
                 rows = lines.syslog_5424(text.where(modern)).unionByName(lines.syslog_bsd(text.where(~modern), F.col("year")), allowMissingColumns=True)
             else:
                 rows = parse(text)
-            log_type = F.col("wt") if kind == "web_access" else F.lit(kind.removeprefix("web_error_"))
+            log_type = F.col("wt") if kind == "web_access" else F.col("log_type") if "log_type" in rows.columns else F.lit(kind.removeprefix("web_error_"))
             rows = rows.join(F.broadcast(info.drop("year")), "file").withColumns({"log_type": log_type, "source_path": F.col("file")}).cache()
             counts = {r.file: (r.good, r.bad) for r in rows.groupBy("file").agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad")).collect()}
             files = self.write(table, rows.where("ok"))

@@ -111,6 +111,32 @@ def test_passages(docs, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_with_quotes(spark):
+    """Copies of a passage are found though a smaller document, or one between them, holds a part of it; near copies with three words changed as well."""
+    r = random.Random(11)
+    words = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(60):
+        passage, at = words(60), r.randrange(30)
+        other = list(passage)
+        if k % 3 == 2:
+            for j in (2, 29, 57):
+                other[j] = words(1)[0]
+        a, b = words(20) + passage + words(20), words(25) + other + words(15)
+        quote = words(30) + passage[at : at + 30] + words(30)
+        for j, text in enumerate((quote, a, b) if k % 2 else (a, quote, b)):
+            rows.append((10 * k + j, " ".join(text)))
+        want[k] = {10 * k + 1, 10 * k + 2} if k % 2 else {10 * k, 10 * k + 2}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {k: {x.doc_id for x in got if x.doc_id // 10 == k} for k in want}
+    assert all(found[k] == want[k] for k in want if k % 3 != 2)
+    assert sum(found[k] == want[k] for k in want if k % 3 == 2) >= 18
+    repeated = " ".join(passage)
+    rows = [(1, repeated + " " + " ".join(words(80)) + " " + repeated), (2, " ".join(words(9)) + " " + repeated)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1").collect()
+    assert {(x.begin_word, x.end_word) for x in got} >= {(0, 59), (140, 199)}
+
+
 def test_licenses(docs, none):
     for r in licenses.scan(docs.select("doc_id", F.col("text").alias("t"), "score"), "t").join(docs.select("doc_id", "text"), "doc_id").collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))

@@ -87,7 +87,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for last in (False, True):
         open_ = _open_pairs(scratch, entries, labels, tested, last)
         if open_ is None:
-            break
+            continue
         tested = scratch.save(tested.unionByName(_verify(open_, reps)))
         labels = components(scratch, tested.where("linked"))
     degree = tested.where("linked").select(F.explode(F.array("x", "y")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))

@@ -264,3 +264,15 @@ def test_decontamination(spark, none):
     assert {(1, 1), (2, 1), (6, 2)} <= got and not any(x in got for x in ((3, 1), (4, 1), (5, 1)))
     assert {r.doc_id for r in decontam.clean(d, bench).collect()} >= {3, 4, 5, None}
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(d, bench.where("false")).count() == 0
+
+
+def test_decontamination_of_changed_copies(spark):
+    """Names at sentence starts, numbers with separators, lower case, capitals and other line breaks."""
+    tom = "Tom has 12 apples. Tom gives 5 apples to Anna. Anna eats 2 apples. How many apples does Tom have now?"
+    price = "A shop sells 900 boxes in one week and pays 3 dollars for each box while 10 percent of them come back to the shop later"
+    bench = spark.createDataFrame([(1, tom), (2, price)], "item_id long, text string")
+    again = tom.replace("Tom", "Leo").replace("Anna", "Mia").replace("12", "31")
+    mixed = "Leo has 12 apples. Max gives 5 apples to Mia. Zoe eats 2 apples. How many apples does Kim have now?"
+    rows = [(1, again), (2, price.replace("900", "1,200").replace("3 ", "2.50 ").replace("10 ", "12.5 ")), (3, tom.lower()), (4, tom.upper()), (5, again.replace(" ", "\n")), (6, mixed)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1), (4, 1), (5, 1)}

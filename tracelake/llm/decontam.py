@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template words: numbers, names (capitalised inside a sentence, not all capitals) and units (after a number) turn into typed placeholders, others are lower-cased.
-Windows of WIDTH template words of the benchmark are hashed and joined with those of every document. Matches of one item that lie along the same course in a document make a
+Words become template words: numbers (with separators: 1,200 and 2.50), names (capitalised, not all capitals) and units (after a number) turn into typed placeholders,
+others are lower-cased. Windows of WIDTH words of the benchmark are hashed and joined with those of every document in three readings: names inside sentences only, names at
+sentence starts as well, and plain lower-cased words without placeholders. Matches of one item that lie along the same course in a document make a
 candidate; it counts if it holds SHARE percent of the item's windows and its slots are consistent: equal values in the item have equal values in the document.
 """
 
@@ -31,6 +32,7 @@ ENDS = np.zeros(256, bool)
 ENDS[list(b".!?:;\n\r\"'([{")] = True
 DIGIT = np.zeros(256, bool)
 DIGIT[0x30:0x3A] = True
+READINGS = 3
 NUMBER, NAME, UNIT = np.uint64(0x1111111111111111), np.uint64(0x2222222222222222), np.uint64(0x3333333333333333)
 
 
@@ -42,41 +44,53 @@ def _hash_of(word: str) -> int:
 UNIT_HASHES = np.sort(np.array([_hash_of(u) for u in UNITS], np.uint64))
 
 
-def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template codes, plain word hashes, whether a word is a slot, each text's first word, and windows' hashes by first word."""
+def _join_numbers(data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with runs of digits that one comma or point parts made one word, each text's first word, and which words are numbers."""
+    if not len(begin):
+        return begin, end, np.searchsorted(begin, at), np.zeros(0, bool)
+    digits = np.add.reduceat(DIGIT[data].astype(np.int64), np.stack([begin, end], 1).ravel()[:-1])[::2] == end - begin
+    gap = data[np.minimum(end[:-1], len(data) - 1)]
+    same = np.searchsorted(at, begin[1:], "right") == np.searchsorted(at, begin[:-1], "right")
+    joined = digits[1:] & digits[:-1] & (begin[1:] - end[:-1] == 1) & ((gap == ord(",")) | (gap == ord("."))) & same
+    begin, end, digits = begin[np.concatenate([[True], ~joined])], end[np.concatenate([~joined, [True]])], digits[np.concatenate([[True], ~joined])]
+    return begin, end, np.searchsorted(begin, at), digits
+
+
+def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Plain word hashes, whether a word is a slot (names inside sentences only; names at sentence starts as well), each text's first word, and windows' hashes by first
+    word in each reading."""
     data, at = flat(column)
     low = LOWER[data]
-    begin, end, first = word_spans(data, at, IN_WORD)
+    begin, end, _ = word_spans(data, at, IN_WORD)
+    begin, end, first, number = _join_numbers(data, at, begin, end)
     plain = word_hashes(low, begin, end)
     if not len(begin):
-        return plain, plain, np.zeros(0, bool), first, plain
-    digits = np.add.reduceat(DIGIT[data].astype(np.int64), np.stack([begin, end], 1).ravel()[:-1])[::2] == end - begin
-    number = digits
+        return plain, number, number, first, [plain] * READINGS
     second = data[np.minimum(begin + 1, end - 1)]
     capital = (data[begin] >= 0x41) & (data[begin] <= 0x5A) & ~((second >= 0x41) & (second <= 0x5A))
     stops = np.concatenate([[0], np.cumsum(ENDS[data])])
     opens = np.ones(len(begin), bool)
     opens[1:] = stops[begin[1:]] > stops[end[:-1]]
     opens[first[:-1][first[:-1] < len(begin)]] = True
-    name = capital & ~opens
     after = np.zeros(len(begin), bool)
     after[1:] = number[:-1]
     unit = after & (UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, plain), len(UNIT_HASHES) - 1)] == plain)
-    codes = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, plain)))
-    windows, _ = shingle_hashes(codes, first, WIDTH)
-    return codes, plain, number | name | unit, first, windows
+    coded = lambda name: np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, plain)))
+    names = capital & ~opens
+    windows = [shingle_hashes(codes, first, WIDTH)[0] for codes in (coded(names), coded(capital), plain)]
+    return plain, number | names | unit, number | capital | unit, first, windows
 
 
 def _index(items: list[tuple[int, str]]):
-    """Sorted windows of the benchmark with item and place, and of each item its windows, words and slots."""
-    codes, plain, slot, first, windows = template(pa.array([t for _, t in items], pa.string()))
+    """For each reading the sorted windows of the benchmark with item and place; of each item its windows, words and slots."""
+    plain, slot, loose, first, windows = template(pa.array([t for _, t in items], pa.string()))
     count = np.diff(first)
     made = np.where(count >= WIDTH, count - WIDTH + 1, (count > 0).astype(np.int64))
     item = np.repeat(np.arange(len(items)), made)
-    place = np.arange(len(windows)) - np.repeat(np.cumsum(made) - made, made)
-    order = np.argsort(windows, kind="stable")
-    info = [(i, int(made[k]), plain[first[k] : first[k + 1]], slot[first[k] : first[k + 1]]) for k, (i, _) in enumerate(items)]
-    return windows[order], item[order], place[order], info
+    place = np.arange(int(made.sum())) - np.repeat(np.cumsum(made) - made, made)
+    orders = [np.argsort(w, kind="stable") for w in windows]
+    info = [(i, int(made[k]), *(x[first[k] : first[k + 1]] for x in (plain, slot, loose))) for k, (i, _) in enumerate(items)]
+    return [(w[o], item[o], place[o]) for w, o in zip(windows, orders, strict=True)], info
 
 
 def _course(found: list[tuple[int, int]], need: int, length: int) -> list[tuple[int, int]]:
@@ -97,9 +111,10 @@ def _course(found: list[tuple[int, int]], need: int, length: int) -> list[tuple[
     return best
 
 
-def _consistent(course: list[tuple[int, int]], words: np.ndarray, slots: np.ndarray, doc: np.ndarray) -> tuple[int, bool]:
-    """Slots seen, and whether equal values of the item have equal values in the document (one in ten may differ)."""
-    pairs = {(i + k, d + k) for d, i in course for k in range(WIDTH) if i + k < len(words) and d + k < len(doc) and slots[i + k]}
+def _consistent(course: list[tuple[int, int]], words: np.ndarray, slots: np.ndarray, loose: np.ndarray, doc: np.ndarray) -> tuple[int, bool]:
+    """Slots seen, and whether equal values of the item have equal values in the document (one in ten may differ). A capitalised word at a sentence start counts
+    where its value differs."""
+    pairs = {(i + k, d + k) for d, i in course for k in range(WIDTH) if i + k < len(words) and d + k < len(doc) and (slots[i + k] or (loose[i + k] and words[i + k] != doc[d + k]))}
     values: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
     for i, d in pairs:
         values[int(words[i])][int(doc[d])] += 1
@@ -111,32 +126,33 @@ def _match(held):
     names = ["doc_id", "item_id", "share", "n_slots"]
 
     def run(batches):
-        windows, item, place, info = _index(held())
+        index, info = _index(held())
         for batch in batches:
             for part in slices(batch):
-                _, plain, _, first, own = template(part.column("text"))
-                if not len(own) or not len(windows):
-                    continue
+                plain, _, _, first, readings = template(part.column("text"))
                 count = np.diff(first)
                 made = np.where(count >= WIDTH, count - WIDTH + 1, (count > 0).astype(np.int64))
                 at = np.concatenate([[0], np.cumsum(made)])
-                low, high = np.searchsorted(windows, own, "left"), np.searchsorted(windows, own, "right")
-                hits: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-                hit = np.flatnonzero(high > low)
-                owner = np.searchsorted(at, hit, "right") - 1
-                for p, o, a, b in zip(hit.tolist(), owner.tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                    for k in range(a, b):
-                        hits[o][int(item[k])].append((p - int(at[o]), int(place[k])))
                 ids, rows = part.column("doc_id"), []
-                for o, items in hits.items():
-                    doc = plain[first[o] : first[o + 1]]
-                    for k, found in items.items():
-                        name, n, words, slots = info[k]
-                        need = math.ceil(SHARE * n / 100)
-                        if len(found) >= need and (course := _course(found, need, n)):
-                            seen, fits = _consistent(course, words, slots, doc)
-                            if fits:
-                                rows.append((ids[o].as_py(), name, len(course) / n, seen))
+                for reading, ((windows, item, place), own) in enumerate(zip(index, readings, strict=True)):
+                    if not len(own) or not len(windows):
+                        continue
+                    low, high = np.searchsorted(windows, own, "left"), np.searchsorted(windows, own, "right")
+                    hits: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+                    hit = np.flatnonzero(high > low)
+                    owner = np.searchsorted(at, hit, "right") - 1
+                    for p, o, a, b in zip(hit.tolist(), owner.tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
+                        for k in range(a, b):
+                            hits[o][int(item[k])].append((p - int(at[o]), int(place[k])))
+                    for o, items in hits.items():
+                        doc = plain[first[o] : first[o + 1]]
+                        for k, found in items.items():
+                            name, n, words, slots, loose = info[k]
+                            need = math.ceil(SHARE * n / 100)
+                            if len(found) >= need and (course := _course(found, need, n)):
+                                seen, fits = _consistent(course, words, slots, loose if reading == 1 else slots, doc)
+                                if fits:
+                                    rows.append((ids[o].as_py(), name, len(course) / n, seen))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=names)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.llm import decontam, jaccard, mixing, sharding, toxicity
 from tracelake.llm.common import Scratch, bucket_of, table
@@ -26,11 +27,21 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: what it takes of a document, over its size, rounded. Blocks are as long as documents here, so most are taken
-    wholly or not at all. Documents without words count nothing in the mix and stay once."""
-    taken = mixing.mix(docs, block_tokens=2048).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    times = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1)).cast("int")
-    times = taken.select(F.col("doc_id").alias("_id"), times.alias("_times"))
+    """Documents as often as the mix takes them, in whole documents: each source's quota takes its documents as often as it can, and then those at the front of a seeded
+    line whose middle lies within the rest, so a line's words are off by half a document at most. Long sources have several lines. Documents without words count
+    nothing in the mix and stay once."""
+    taken = mixing.mix(docs)
+    lines = F.ceil((F.col("source_size") + 1) / mixing.SHARD_TOKENS)
+    taken = taken.withColumn("_line", F.pmod(F.xxhash64(F.lit(31), "doc_id", "size"), lines))
+    line = Window.partitionBy("source", "_line")
+    taken = taken.withColumn("_words", F.sum("size").over(line)).withColumn("_quota", F.sum("taken").over(line))
+    end = F.sum("size").over(line.orderBy(F.xxhash64(F.lit(32), "doc_id", "size"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    middle = end - F.col("size") / 2
+    whole = F.floor(F.col("_quota") / F.col("_words"))
+    more = (middle < F.col("_quota") - whole * F.col("_words")).cast("int")
+    times = F.when(F.col("size") > 0, whole + more).otherwise(F.lit(1)).cast("int")
+    taken = taken.withColumn("_times", times).groupBy("doc_id").agg(F.max("_times").alias("_times"))
+    times = taken.select(F.col("doc_id").alias("_id"), "_times")
     joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(docs.columns)
 

@@ -161,6 +161,12 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0 and len(licenses.rules()) > 300
 
 
+def test_license_wordings(spark):
+    texts = ["Licensed under Creative Commons Zero", "released under CC-0", "licensed under CC0 1.0", "noncommercial use only", "non-commercial use", "for commercial use"]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert [r.labels for r in licenses.scan(d).orderBy("k").collect()] == ["cc0"] * 3 + ["noncommercial"] * 3
+
+
 def test_sharding(docs, none):
     n = docs.count()
     out = sharding.shuffle_to_shards(docs.withColumn("shard", F.lit(9)), ["doc_id", "n_chars"], 7).collect()

@@ -87,14 +87,23 @@ PASSAGES = (
     ("public-domain", "public domain", "(?:dedicated to|released into|in) the public domain", 30),
     ("noncommercial", "commercial", "(?:for|not for|non) ?commercial use(?: only)?", 25),
 )
-GATE = " (?:licen[cs]e[sd]?|unlicense|spdx|cc|cc0|gpl\\w*|[al]gpl\\w*|mpl|epl|cddl|wtfpl|0bsd|(?:distributed|released|available|published|provided) under|(?:subject|according|pursuant) to|rights reserved|public domain|commercial|hereby granted|binary forms|free software|with or without fee) "
+#: Other wordings of the rules above, each with its own keyword. They stand after them, so that priorities stay.
+OTHER_NAMES = (
+    ("cc0", "creative commons zero", "creative commons zero(?: 1 0)?"),
+    ("cc0", "cc 0", "cc 0(?: 1 0)?"),
+)
+OTHER_PASSAGES = (("noncommercial", "noncommercial", "noncommercial use(?: only)?", 25),)
+GATE = " (?:licen[cs]e[sd]?|unlicense|spdx|cc|cc0|gpl\\w*|[al]gpl\\w*|mpl|epl|cddl|wtfpl|0bsd|(?:distributed|released|available|published|provided) under|(?:subject|according|pursuant) to|rights reserved|public domain|commercial|noncommercial|hereby granted|binary forms|free software|with or without fee) "
 
 
 def rules() -> list[dict]:
     """All rules in order: keyword, pattern, label, priority. The order breaks ties of priority."""
     out = [{"kw": kw, "rx": form.format(f"(?:{name})"), "label": label, "prio": prio} for label, kw, name in FAMILIES for form, prio in FORMS]
     out += [{"kw": kw, "rx": rx, "label": label, "prio": prio} for label, kw, rx, prio in PASSAGES]
-    return [r | {"prio": r["prio"] * 1000 + len(out) - k} for k, r in enumerate(out)]
+    first = len(out)
+    out += [{"kw": kw, "rx": form.format(f"(?:{name})"), "label": label, "prio": prio} for label, kw, name in OTHER_NAMES for form, prio in FORMS]
+    out += [{"kw": kw, "rx": rx, "label": label, "prio": prio} for label, kw, rx, prio in OTHER_PASSAGES]
+    return [r | {"prio": r["prio"] * 1000 + first - k} for k, r in enumerate(out)]
 
 
 def _let(value: Column, body) -> Column:

@@ -258,6 +258,12 @@ def test_toxicity(spark, none):
     assert g.clause("i will kill you")[1] >= g.clause("i will kill time")[1] and g.clause("we never hurt you")[1] == 0
 
 
+def test_targets_on_both_sides(spark):
+    g = toxicity.Grammar({}, {})
+    assert g.clause("i will kill you")[1] > g.clause("i will kill time")[1] and g.clause("shoot them all")[1] == g.clause("you they shoot")[1]
+    assert g.clause("idiot you")[0] == g.clause("you idiot")[0] and g.clause("kill a b c d e you")[1] == g.clause("kill")[1] and g.clause("never hurt you")[1] == 0
+
+
 def test_decontamination(spark, none):
     item = "Maria has 12 apples and gives 5 kg of pears to Peter before Maria walks 3 miles home with the other children of the village"
     other = "nothing of this sentence stands in any of the documents that are looked at in this small test of ours"

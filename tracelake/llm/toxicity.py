@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexer maps words to symbols: insult (with a weight), threat verb, target, negation, reported speech. Each clause runs through small transducers that are
-composed: negation turns the sign of what follows within a few words, reported speech weakens the rest of the clause, a target near an insult or a threat strengthens it. A
+composed: negation turns the sign of what follows within a few words, reported speech weakens the rest of the clause, a target within a few words before or after an insult or a threat strengthens it. A
 document's features are sums over matched clauses; a logistic curve fitted to labels makes a score of them.
 
 Insults are words and stems. Besides a seed list, stems are learned from a bounded sample of labelled rows (SAMPLE): those that stand in at least LEAST toxic and nearly no
@@ -52,10 +52,12 @@ class Grammar:
         return max((self.stems[word[:n]] for n in range(STEM[0], min(len(word), STEM[1]) + 1) if word[:n] in self.stems), default=0.0)
 
     def clause(self, text: str) -> tuple[float, float]:
-        """Insult and threat scores of one clause. States: how far the last negation reaches, whether speech is reported, distance of the last target."""
+        """Insult and threat scores of one clause. States: how far the last negation reaches, whether speech is reported, distance of the last target, and
+        what matches of the last few words gain by a target."""
         negated = near = 0
+        waiting: list[tuple[int, str, float]] = []
         factor, insult, threat = 1.0, 0.0, 0.0
-        for m in WORD.finditer(text):
+        for at, m in enumerate(WORD.finditer(text)):
             w = m[0]
             negated, near = max(0, negated - 1), max(0, near - 1)
             kind = self.plain.get(w)
@@ -65,11 +67,21 @@ class Grammar:
                 factor = 0.5
             elif kind == "target":
                 near = 5
+                gains = [(what, gain) for since, what, gain in waiting if at - since < near]
+                insult += sum(gain for what, gain in gains if what == "insult")
+                threat += sum(gain for what, gain in gains if what == "threat")
+                waiting = []
             weight = self.insult(w) if kind is None else 0.0
             if weight:
-                insult += factor * weight * (1.25 if near else 1.0) * (0.6 if negated else 1.0)
+                plain = factor * weight * (0.6 if negated else 1.0)
+                insult += plain * (1.25 if near else 1.0)
+                if not near:
+                    waiting.append((at, "insult", 0.25 * plain))
             elif kind == "threat" and near is not None:
-                threat += factor * (1.0 if near else 0.1) * (0.0 if negated else 1.0)
+                plain = factor * (0.0 if negated else 1.0)
+                threat += plain * (1.0 if near else 0.1)
+                if not near:
+                    waiting.append((at, "threat", 0.9 * plain))
         return insult, threat
 
     def features(self, text: str | None) -> list[float]:

@@ -86,7 +86,9 @@ class _Batch:
         yield {"part": int(mix(np.array([self.uid], np.uint64))[0] % np.uint64(ranges)), "uid": self.uid, "kind": 1, "a": join(self.ids, np.int64) + local.tobytes(), "b": join(self.counts, np.int64), "c": join(self.s1, np.uint64), "d": join(self.s2, np.uint64)}
         for k in range(ranges):
             if cuts[k] < cuts[k + 1]:
-                yield {"part": k, "uid": self.uid, "kind": 0, "a": packed[cuts[k] : cuts[k + 1]].tobytes(), "b": None, "c": None, "d": None}
+                mine = packed[cuts[k] : cuts[k + 1]]
+                often = count[count >= HOT][np.searchsorted(once, mine[(mine & np.uint64(PLACES)) == np.uint64(PLACES)] >> SHIFT)]
+                yield {"part": k, "uid": self.uid, "kind": 0, "a": mine.tobytes(), "b": often.astype(np.int64).tobytes(), "c": None, "d": None}
 
 
 def _bounds(ranges: int) -> np.ndarray:
@@ -124,14 +126,17 @@ def _count(batches):
             if r["kind"]:
                 yield _table([r])
             else:
-                got.setdefault(r["part"], []).append((r["uid"], r["a"]))
+                got.setdefault(r["part"], []).append((r["uid"], r["a"], r["b"]))
     for part in sorted(got):
-        blobs = [(uid, np.frombuffer(a, np.uint64)) for uid, a in got.pop(part)]
+        rows = got.pop(part)
+        blobs = [(uid, np.frombuffer(a, np.uint64)) for uid, a, _ in rows]
+        often = np.concatenate([np.frombuffer(b, np.int64) for _, _, b in rows])
+        names = np.concatenate([x[(x & np.uint64(PLACES)) == np.uint64(PLACES)] >> SHIFT for _, x in blobs])
         everything = np.sort(np.concatenate([x for _, x in blobs]))
         token = everything >> SHIFT
         first, count = _runs(token)
-        weight = np.where((everything & np.uint64(PLACES)) == np.uint64(PLACES), HOT, 1)
-        df = np.add.reduceat(weight, first)
+        df = count.copy()  # an entry stands for one occurrence, or for all of its batch
+        np.add.at(df, np.searchsorted(token[first], names), often - 1)
         shared, df = token[first[df > 1]], df[df > 1]
         del everything, token
         for uid, x in blobs:
@@ -139,7 +144,7 @@ def _count(batches):
             k = np.minimum(np.searchsorted(shared, t), max(len(shared) - 1, 0))
             hit = shared[k] == t if len(shared) else np.zeros(len(t), bool)
             if hit.any():
-                yield _table([{"part": part, "uid": uid, "kind": 2, "a": x[hit].tobytes(), "b": df[k[hit]].astype(np.int32).tobytes(), "c": None, "d": None}])
+                yield _table([{"part": part, "uid": uid, "kind": 2, "a": x[hit].tobytes(), "b": np.minimum(df[k[hit]], (1 << 31) - 1).astype(np.int32).tobytes(), "c": None, "d": None}])
 
 
 def _gather(keep_share: float):
@@ -180,7 +185,7 @@ def _gather(keep_share: float):
 
 def shared_tokens(docs: DataFrame, tokenize: Callable, distinct: bool, keep_share: float = 0.0) -> DataFrame:
     """Returns for each document (doc_id not null): doc_id; n, its number of tokens; s1 and s2, which equal sets of tokens have in common; toks and dfs, its
-    tokens that occur at least twice in the corpus, rarest first, with how often (counts of frequent ones are rough). toks is null where there are none, or
+    tokens that occur at least twice in the corpus, rarest first, with how often (up to 2^31). toks is null where there are none, or
     fewer than keep_share of n, or where the set stands elsewhere in the same batch (distinct).
 
     tokenize: an Arrow column of texts to (tokens of 50 bits, where each text's begin). distinct: tokens of a document form a set, and frequencies count

@@ -85,6 +85,26 @@ def test_jaccard_last_round(spark):
         assert got == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1)}
 
 
+def test_jaccard_sizes(spark):
+    """Sets at the edge of the sizes that can be linked, one inside the other, near the ends of blocks: each component equals brute force."""
+    r, rows = random.Random(8), []
+    for n in (7, 8, 12, 15, 16, 20, 28, 40, 60, 100, 133, 134):
+        words = [f"s{r.randrange(10**9)}" for _ in range(2 * n)]
+        for m in {n, -(-3 * n // 4), 3 * n // 4, 3 * n // 4 - 1, n * 4 // 3, n * 4 // 3 + 1}:
+            rows.append((len(rows), " ".join(words[: max(m, 1) + 4])))
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    to = dict.fromkeys(sets)
+    for d in sets:
+        todo, seen = [d], {d}
+        while todo:
+            a = todo.pop()
+            new = {b for b in sets if b not in seen and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+            todo, seen = todo + list(new), seen | new
+        to[d] = min(seen)
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == to
+
+
 def test_substrings(docs, none):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = collections.Counter(b[k : k + 200] for _, b in rows for k in range(len(b) - 199))

@@ -3,17 +3,20 @@
 1. shared_tokens() finds the shingles that occur twice. A document linked with another one shares at least 75% of its shingles with it, so one with fewer
    shared shingles is skipped: in most corpora nearly all are.
 2. Documents with equal sets are one class; its smallest doc_id stands for it.
-3. Classes are indexed under their rarest shingles (prefix filter). An index list is cut into blocks by set size, and the positions of the shingle bound the overlap that
-   is still possible, so blocks and entries out of reach are skipped.
-4. Answers come from answers: each list is first compared with its smallest member. Members of one component need no comparison with each other, and the
-   known distances to a common set bound those between two sets (triangle inequality), so a later round compares only members outside a list's largest
-   component, where the bounds leave it open. No list is expanded into all its pairs.
+3. Classes are indexed under their rarest shingles (prefix filter). An index list is cut into blocks by set size, in steps a little wider than the sizes that
+   can be linked; a set stands in the block of its own size, and in the next one if its position in the list leaves an overlap possible with any
+   set there. All other blocks are skipped, and inside a block entries whose positions rule out the overlap.
+4. Answers come from answers: each block is first compared with its smallest member. Members of one component need no comparison with each other, and the
+   known distances to a common set bound those between two sets (triangle inequality), so a later round compares only members outside a block's largest
+   component, where the bounds leave it open. Blocks of one component, as groups of near copies are, are never expanded into pairs.
 
 Components are found by rounds of smallest labels with shortcuts, all in DataFrames.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from .shared import shared_tokens
 from .textkit import shingles
 
 WIDTH, SHARE = 5, 75
+#: Sizes of one block differ by this factor: more than 100 / SHARE, so linked sets stand in the same block or in neighbouring ones.
+STEP = 1.34
 
 
 def _tokenize(column):
@@ -54,10 +59,21 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _within_reach(a: str, b: str):
-    """Sizes and positions of a common token leave an overlap of SHARE possible."""
+    """Sizes and positions of a common token leave an overlap of SHARE possible. Of two visitors of a block, one is at home in an earlier one: they meet there."""
     na, nb, pa, pb = (F.col(f"{t}.{c}") for t, c in ((a, "n"), (b, "n"), (a, "pos"), (b, "pos")))
     most = F.least(na - pa, nb - pb)
-    return (100 * F.least(na, nb) >= SHARE * F.greatest(na, nb)) & ((100 + SHARE) * most >= SHARE * (na + nb))
+    return (100 * F.least(na, nb) >= SHARE * F.greatest(na, nb)) & ((100 + SHARE) * most >= SHARE * (na + nb)) & (F.col(f"{a}.home") | F.col(f"{b}.home"))
+
+
+def _blocks(entries: DataFrame) -> DataFrame:
+    """entries (tok, rep, n, pos) by block, with home: whether the block is that of its own size. The largest set that an entry can be linked with follows from its
+    size and from the tokens left behind its position."""
+    own = F.floor(F.log("n") / math.log(STEP)).cast("int")
+    reach = F.least(F.col("n") * 100 / SHARE, F.lit((100 + SHARE) / SHARE) * (F.col("n") - F.col("pos")) - F.col("n"))
+    next_size = F.pow(F.lit(STEP), own + 1)
+    # A little under the next block's smallest size, so that rounding skips nothing.
+    both = F.when(reach >= next_size * (1 - 1e-9), F.array(own, own + 1)).otherwise(F.array(own))
+    return entries.select("*", F.posexplode(both).alias("away", "blk")).withColumn("home", F.col("away") == 0).drop("away")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -70,18 +86,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    found = scratch.save(shared_tokens(docs, _tokenize, True, SHARE / 100))
+    found = scratch.save(shared_tokens(docs, _tokenize, True, SHARE / 100).drop("dfs"))
     members = found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("toks", ignorenulls=True).alias("toks"))
     members = members.withColumn("key", F.col("rep"))
     reps = scratch.save(members.where("toks is not null").select("rep", "n", "toks"))
     # Shingles that stand nowhere else come first in every set; what remains of the prefix is taken from the rarest shared ones.
     prefix = F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1 - (F.col("n") - F.size("toks"))
     entries = reps.where(prefix > 0).select("rep", "n", (F.col("n") - F.size("toks")).alias("alone"), F.posexplode(F.slice("toks", F.lit(1), prefix.cast("int"))).alias("k", "tok"))
-    entries = entries.select("tok", "rep", "n", (F.col("alone") + F.col("k")).alias("pos"))
-    first = entries.groupBy("tok").agg(F.count("*").alias("size"), F.min_by(F.struct("rep", "n", "pos"), "rep").alias("lead")).where("size > 1")
-    entries = scratch.save(entries.join(first, "tok"))
-    star = entries.select("tok", F.col("lead.rep").alias("lead"), "rep", F.struct("n", "pos").alias("m"), F.struct("lead.n", "lead.pos").alias("l")).where("rep <> lead")
-    star = star.where(_within_reach("l", "m"))
+    entries = _blocks(entries.select("tok", "rep", "n", (F.col("alone") + F.col("k")).alias("pos")))
+    member = F.struct("rep", "n", "pos", "home")
+    first = entries.groupBy("tok", "blk").agg(F.count("*").alias("size"), F.min_by(member, "rep").alias("lead")).where("size > 1").drop("size")
+    entries = scratch.save(entries.join(first, ["tok", "blk"]))
+    star = entries.select("lead", member.alias("m")).where("m.rep <> lead.rep").where(_within_reach("lead", "m"))
+    star = star.select(F.col("lead.rep").alias("lead"), F.col("m.rep").alias("rep"))
     tested = scratch.save(_verify(star.select(F.col("lead").alias("x"), F.col("rep").alias("y")).distinct(), reps))
     labels = components(scratch, tested.where("linked"))
     for last in (False, True):
@@ -98,17 +115,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _open_pairs(scratch: Scratch, entries: DataFrame, labels: DataFrame, tested: DataFrame, last: bool) -> DataFrame | None:
-    """Pairs that stand in one list and in different components, not yet compared and not excluded by known distances: those with the smallest member outside
-    a list's largest component, or at last all. None if there are none."""
-    named = entries.select("tok", "rep", "n", "pos").join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    parts = named.groupBy("tok", "c").agg(F.count("*").alias("size"), F.min("rep").alias("least"))
-    lists = parts.groupBy("tok").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("largest"), F.max("size").alias("most"))
-    named = scratch.save(named.join(lists.where("parts > 1").select("tok", "largest"), "tok"))
+    """Pairs that stand in one block and in different components, not yet compared and not excluded by known distances: those with the smallest member outside
+    a block's largest component, or at last all. None if there are none."""
+    named = entries.select("tok", "blk", "rep", "n", "pos", "home").join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    parts = named.groupBy("tok", "blk", "c").agg(F.count("*").alias("size"))
+    lists = parts.groupBy("tok", "blk").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("largest"))
+    named = scratch.save(named.join(lists.where("parts > 1").select("tok", "blk", "largest"), ["tok", "blk"]))
     few = named.where("c <> largest")
     if not last:
-        few = few.groupBy("tok").agg(F.min_by(F.struct("rep", "n", "pos", "c"), "rep").alias("p")).select("tok", "p.*")
+        few = few.groupBy("tok", "blk").agg(F.min_by(F.struct("rep", "n", "pos", "home", "c"), "rep").alias("p")).select("tok", "blk", "p.*")
     a, b = few.alias("a"), named.alias("b")
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.c") != F.col("b.c")) & _within_reach("a", "b"))
+    same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.blk") == F.col("b.blk"))
+    pairs = a.join(b, same & (F.col("a.c") != F.col("b.c")) & _within_reach("a", "b"))
     pairs = pairs.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y")).distinct().join(tested, ["x", "y"], "left_anti")
     known = tested.groupBy("y").agg(F.min_by(F.struct("x", "dist"), "x").alias("k"))
     bounds = pairs.join(known.select(F.col("y").alias("x"), F.col("k").alias("kx")), "x", "left").join(known.select("y", F.col("k").alias("ky")), "y", "left")

@@ -4,7 +4,8 @@ Every string of LENGTH bytes has one anchor: the place of its smallest GRAM-byte
 at anchors whose gram occurs twice in the corpus can hold repeats; shared_tokens() finds those with 8 bytes an anchor. Tasks sort these suffixes (cut at LENGTH
 bytes), front-code the sorted runs (length of the common prefix with the one before, and the rest) and send them by range of the gram. The receiver merges runs with a loser
 tree that keeps, for each loser, how much it has in common with the winner it lost to, so no known prefix is compared again. In the merged order the common prefixes
-delimit the groups of one gram; in a group each window of LENGTH bytes around the anchor is checked for a second occurrence, and the covered bytes are removed.
+delimit the groups of one gram, and tell which suffixes share how many bytes; the contexts to the left are sorted and compared in the same way. Together they
+decide which windows of LENGTH bytes stand twice, and the covered bytes are removed. Hashes only choose anchors.
 
 Contexts that one task holds twice are settled there, and one of them is sent, so a passage that a third of all documents share costs one suffix a task.
 """
@@ -27,6 +28,8 @@ LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM
 #: Suffixes of one run, suffixes checked at once, and bytes of text for each range of the exchange: together they bound a task's memory.
 RUN, EVALUATE, RANGE_BYTES = 1 << 14, 2048, 4 << 20
+#: Windows (members times offsets) that are looked at together: a gram that very many suffixes share takes more rounds, not more memory for each.
+CELLS = 1 << 19
 
 RUNS = "part int, kind int, a binary, b binary, c binary, d binary"
 COVERS = "key long, begin long, end long"
@@ -196,39 +199,41 @@ def _runs(ranges: int):
     return run
 
 
+def _classes(shared: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each length of `need` (a row) the class of each string of a sorted list, by what it shares with the one before: equal classes, equal prefixes of that length."""
+    return np.cumsum(shared[None, :] < need[:, None], axis=1)
+
+
 def _windows(members: list[tuple]) -> np.ndarray:
-    """(key, begin, end) of covered bytes. members: (group, right, left, key, place, times)."""
+    """(key, begin, end) of covered bytes. members: (bytes shared with the member before, right, left, key, place, times), in merged order.
+
+    A window of LENGTH bytes with its anchor at offset o is repeated where two members share LENGTH - o bytes of their suffixes and the o bytes before them.
+    The merge knows the first; the second follows from the left contexts, sorted from the anchor outwards and compared byte by byte. No hash decides.
+    """
     m = len(members)
-    width = LEFT + LENGTH
-    joined = b"".join(x[2].rjust(LEFT, b"\0") + x[1].ljust(LENGTH, b"\0") for x in members)
-    codes = BYTE_CODE[np.frombuffer(joined, np.uint8).reshape(m, width)].T
-    total = np.zeros((width + 1, m), np.uint64)
-    full = np.uint64(pow(int(MULT), LENGTH, 1 << 64))
-    for j in range(width):
-        total[j + 1] = total[j] * MULT + codes[j]
-    starts = LEFT - np.arange(LEFT + 1)  # by offset of the anchor in the window
-    h = total[starts + LENGTH] - total[starts] * full
-    group = np.array([x[0] for x in members], np.uint64)
-    offset = np.arange(LEFT + 1)
-    valid = (offset[:, None] <= np.array([len(x[2]) for x in members])) & (LENGTH - offset[:, None] <= np.array([len(x[1]) for x in members]))
-    key = mix(mix(h) + group * MULT + offset[:, None].astype(np.uint64) * BYTE_CODE[7])
-    flat_keys = key[valid]
-    order = np.argsort(flat_keys, kind="stable")
-    s = flat_keys[order]
-    twice = np.zeros(len(s), bool)
-    same = s[1:] == s[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    back = np.empty(len(s), bool)
-    back[order] = twice
-    dup = np.zeros((LEFT + 3, m), bool)
-    inner = dup[1:-1]
-    inner[valid] = back
-    inner |= valid & (np.array([x[5] for x in members]) > 1)
-    begin, end = np.nonzero(dup[1:] & ~dup[:-1]), np.nonzero(dup[:-1] & ~dup[1:])
-    # nonzero goes by offset first; by member, the k-th begin belongs to the k-th end.
-    b, e = np.lexsort((begin[0], begin[1])), np.lexsort((end[0], end[1]))
-    who, low, high = begin[1][b], begin[0][b], end[0][e] - 1
+    outwards = [x[2][::-1] for x in members]
+    order = sorted(range(m), key=outwards.__getitem__)
+    shared_left = np.array([0, *(common(outwards[a], outwards[b], 0) for a, b in zip(order, order[1:], strict=False))])
+    shared_right = np.array([x[0] for x in members])
+    n_left, n_right, times = np.array([len(x[2]) for x in members]), np.array([len(x[1]) for x in members]), np.array([x[5] for x in members])
+    dup = np.zeros((m, LEFT + 3), bool)
+    rows = max(1, CELLS // m)
+    for low in range(0, LEFT + 1, rows):
+        offset = np.arange(low, min(low + rows, LEFT + 1))
+        left = np.empty((len(offset), m), np.int64)
+        left[:, order] = _classes(shared_left, offset)
+        key = (_classes(shared_right, LENGTH - offset) * (m + 1) + left) * len(offset) + np.arange(len(offset))[:, None]
+        valid = (offset[:, None] <= n_left) & (LENGTH - offset[:, None] <= n_right)
+        flat_keys = key[valid]
+        place = np.argsort(flat_keys, kind="stable")
+        same = np.diff(flat_keys[place]) == 0
+        twice = np.zeros(len(place), bool)
+        twice[place] = np.concatenate([[False], same])[: len(place)] | np.concatenate([same, [False]])[: len(place)]
+        found = valid & (times > 1)
+        found[valid] |= twice
+        dup[:, 1 + low : 1 + low + len(offset)] = found.T
+    begin, end = np.nonzero(dup[:, 1:] & ~dup[:, :-1]), np.nonzero(dup[:, :-1] & ~dup[:, 1:])
+    who, low, high = begin[0], begin[1], end[1] - 1
     keys, places = np.array([x[3] for x in members], np.int64), np.array([x[4] for x in members], np.int64)
     return np.stack([keys[who], places[who] - high, places[who] - low + LENGTH], 1)
 
@@ -254,7 +259,6 @@ def _merge(batches):
             metas.append(meta)
         members: list[tuple] = []
         pending: list[tuple] = []
-        group = 0
 
         def close(pending=pending, members=members):
             """A gram that stands once, or whose members all have the same place, repeats nothing here."""
@@ -265,12 +269,11 @@ def _merge(batches):
         for h, s, r, k in LoserTree([decode(x["a"], x["b"]) for x in runs]):
             if h < GRAM:
                 close()
-                group += 1
                 if len(members) >= EVALUATE:
                     yield emit(_windows(members))
                     members.clear()
             left, ends = lefts[r]
-            pending.append((group, s, left[ends[k] : ends[k + 1]], *metas[r][k].tolist()))
+            pending.append((h, s, left[ends[k] : ends[k + 1]], *metas[r][k].tolist()))
         close()
         if members:
             yield emit(_windows(members))

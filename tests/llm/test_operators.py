@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontam, jaccard, langid, licenses, mixing, passages, sharding, substrings, topk, toxicity
+from tracelake.llm import decontam, jaccard, langid, licenses, mixing, passages, queries, sharding, substrings, topk, toxicity
 from tracelake.llm.common import bucket_of
 
 BLANK = "[^\x20\x09-\x0d]+"
@@ -315,7 +315,46 @@ def test_toxicity(spark, none):
     g, w = toxicity.learn(d.where("false"), labels, held)
     assert toxicity.score(none, g, w).count() == 0
     assert g.clause("you are an idiot")[0] > g.clause("you are not an idiot")[0] > 0 and g.clause("he said idiot")[0] < g.clause("idiot")[0]
-    assert g.clause("i will kill you")[1] >= g.clause("i will kill time")[1] and g.clause("we never hurt you")[1] == 0
+    assert g.clause("i will kill you")[1] > g.clause("i will kill time")[1] and g.clause("we never hurt you")[1] == 0
+
+
+def test_transducers():
+    """The composed table marks what its parts mark, on all words of five symbols; brute force by distance."""
+    import itertools
+
+    for w in itertools.product(toxicity.SYMBOLS, repeat=5):
+        near = lambda x, reach, k: any(w[j] == x for j in range(max(0, k - reach), k))  # noqa: B023, E731
+        want = [
+            toxicity.NEGATED * near(toxicity.NEGATION, toxicity.NEGATION_REACH, k)
+            + toxicity.REPORTED_MARK * near(toxicity.REPORT, 5, k)
+            + toxicity.TARGETED * near(toxicity.TARGET, toxicity.TARGET_REACH, k)
+            for k in range(5)
+        ]
+        assert toxicity.FORWARD.marks(list(w)) == want
+
+
+def test_toxicity_of_clashing_columns(spark):
+    """Columns named like a result or an inner column, very long texts, and threats that the labels do not show."""
+    g = toxicity.Grammar({}, {})
+    rows = [(1, "you idiot, " + "plain words here " * 60000, 5.0, 1), (2, "we will kill you all", 6.0, 2), (3, None, 7.0, 3), (4, "", 8.0, 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score double, _features int")
+    out = {x.doc_id: x for x in toxicity.score(d, g, toxicity.PRIOR, tuple(d.columns), "toxicity").collect()}
+    assert out[1].score == 5.0 and out[2]._features == 2 and out[2].toxicity > out[3].toxicity == out[4].toxicity and out[1].toxicity > out[4].toxicity
+    assert toxicity.score(d, g, toxicity.PRIOR, ("doc_id", "score")).columns == ["doc_id", "score"]
+    y = np.array([0, 1] * 20, float)
+    x = np.zeros((40, toxicity.FEATURES))
+    x[:, 0] = y
+    w = toxicity._logistic(x, y)
+    assert w[0] > 0 and w[toxicity.MARKS + toxicity.TARGETED] == toxicity.PRIOR[toxicity.MARKS + toxicity.TARGETED] == 2.0
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """The query finds nine of ten held-out toxic documents, and flags at most one of a hundred clean ones."""
+    sf = "/root/testdata/sf0.1"
+    out = queries.op1_toxicity_grammar(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)"), "doc_id").collect()
+    toxic, clean = [r.predicted for r in out if r.toxic], [r.predicted for r in out if not r.toxic]
+    print(f"toxic {sum(toxic)} of {len(toxic)}, clean flagged {sum(clean)} of {len(clean)}")
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
 
 
 def test_targets_on_both_sides(spark):

@@ -110,11 +110,11 @@ def _predict(known: dict[str, list[int]], keep: list[str]):
 
 
 def identify(docs: DataFrame, known: dict[str, list[int]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep's columns with lang_pred and score (1 less the distance as a share of the largest possible one).
+    """keep's columns (any named lang_pred or score give way) with lang_pred and score (1 less the distance as a share of the largest possible one).
 
     Text null or without a letter, or no language learned: `und`, 0. Equal distances go to the first language by name. Each row stands alone: repeated rows and
     other columns change nothing. Texts are read whole.
     """
-    types = dict(docs.dtypes)
+    types, keep = dict(docs.dtypes), tuple(c for c in keep if c not in ("lang_pred", "score"))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"])
-    return docs.select(*keep, "text").mapInArrow(_predict(known, list(keep)), schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_predict(known, list(keep)), schema)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, jaccard, langid, licenses, mixing, passages, sharding, substrings, topk, toxicity
 from .common import Scratch, bucket_of, table
 
 
+def held_out(column: str, modulus: int, rest: int) -> Column:
+    """Whether the row's fold is held out; rows without doc_id are of no fold: neither learned from nor held out."""
+    return F.coalesce(bucket_of(column, modulus) == rest, F.lit(False)).alias("held_out")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -17,13 +22,13 @@ def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = toxicity.learn(docs, table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) != 0)
     out = toxicity.score(docs, *learned)
-    return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.profiles(docs, bucket_of("doc_id", 3) != 1))
-    return out.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out("doc_id", 3, 1), "lang_pred", "score")
 
 
 def op5_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

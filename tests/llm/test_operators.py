@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -279,6 +280,49 @@ def test_apportionment(spark):
     assert {r.k: r.seats for r in got.collect()} == seats
 
 
+def test_apportionment_of_many_parties(spark):
+    """Ten thousand parties by brute force over a heap; the quotients ranked grow with the parties, not with their square."""
+    import heapq
+
+    r = random.Random(14)
+    for n, total in ((10_000, 123_457), (10_000, 4_000), (300, 10_000_000)):
+        share = {f"{k:05}": float(r.choice([1, 3, 50, r.randrange(1, 100_000)])) for k in range(n)}
+        if total <= 200_000:
+            heap = [(-x, k) for k, x in share.items()]
+            heapq.heapify(heap)
+            seats = dict.fromkeys(share, 0)
+            for _ in range(total):
+                _, k = heap[0]
+                seats[k] += 1
+                heapq.heapreplace(heap, (-share[k] / (2 * seats[k] + 1), k))
+        d = spark.createDataFrame(list(share.items()), "k string, s double")
+        out = mixing.apportion(d, [], ["k"], "s", F.lit(total))
+        got = {x.k: x.seats for x in out.collect()}
+        assert sum(got.values()) == total and (total > 200_000 or got == seats)
+        parts = np.array(list(share.values())) / sum(share.values())
+        high, low = np.ceil(parts * (total + n / 2) + 0.5) + 1, np.maximum(np.floor(parts * (total - n / 2) - 0.5) - 1, 0)
+        assert (high - low).sum() <= 7 * n
+
+
+def test_hypergeometric_law():
+    """Draws against the exact probabilities, and against mean and deviation for ten trillion rows."""
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((3, 5, 4), (50, 70, 30), (400, 20000, 1000)):
+        x = np.array([sharding._draw(rng, good, bad, n) for _ in range(5000)])
+        low = max(0, n - bad)
+        p = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(low, min(good, n) + 1)])
+        seen, want = np.bincount(x - low, minlength=len(p)), 5000 * p
+        often = want > 5
+        assert ((seen - want) ** 2 / want)[often].sum() < often.sum() + 5 * (2 * often.sum()) ** 0.5
+    total = 10**13
+    good, n = total // 24, total // 4096
+    x = np.array([sharding._draw(rng, good, total - good, n) for _ in range(3000)], float)
+    deviation = math.sqrt(n * good / total * (total - good) / total * (total - n) / (total - 1))
+    assert abs(x.mean() - n * good / total) < 5 * deviation / 3000**0.5 and abs(x.std() / deviation - 1) < 0.07
+    m = np.array(sharding.matrix([4 * 10**9, 10**9, 7], 5, 3))
+    assert m.sum(1).tolist() == [4 * 10**9, 10**9, 7] and m.sum(0).max() - m.sum(0).min() <= 1
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(k, [float(x) for x in r.normal(size=16)]) for k in range(300)]

@@ -45,21 +45,25 @@ def targets(sizes: DataFrame) -> DataFrame:
 def apportion(shares: DataFrame, by: list[str], key: list[str], share: str, total: Column) -> DataFrame:
     """shares with seats: `total` seats of each group `by` by Sainte-Lague over `share`, ties to the smaller key.
 
-    Rounding share / (sum / total) gives seats that differ from the answer by at most half the number of parties in all, so only quotients that near are ranked.
+    Every party's seats are share / d rounded, for one divisor d. As n parties round off by a half at most, d lies between sum / (total + n / 2) and
+    sum / (total - n / 2), so a party with the part p of the sum has seats between p * (total - n / 2) - 1/2 and p * (total + n / 2) + 1/2. Only the quotients between
+    are ranked: about six for each party on average, whatever the total and the number of parties.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    every = [F.lit(0)] if not by else by
+    w = Window.partitionBy(*every)
     s = shares.withColumn("_total", total).withColumn("_sum", F.sum(share).over(w)).withColumn("_n", F.count("*").over(w))
-    s = s.withColumn("_near", F.when(F.col("_sum") > 0, F.floor(F.col(share) * F.col("_total") / F.col("_sum") + 0.5)).otherwise(F.lit(0)).cast("long"))
-    s = s.withColumn("_low", F.greatest(F.col("_near") - F.col("_n") / 2 - 2, F.lit(0)).cast("long"))
+    s = s.withColumn("_part", F.when(F.col("_sum") > 0, F.col(share) / F.col("_sum")).otherwise(F.lit(0.0)))
+    s = s.withColumn("_low", F.greatest(F.floor(F.col("_part") * (F.col("_total") - F.col("_n") / 2) - 0.5) - 1, F.lit(0)).cast("long"))
+    s = s.withColumn("_high", (F.ceil(F.col("_part") * (F.col("_total") + F.col("_n") / 2) + 0.5) + 1).cast("long"))
     s = s.withColumn("_open", F.col("_total") - F.sum("_low").over(w))
-    tried = s.select(*by, *key, "_open", F.explode(F.sequence(F.col("_low") + 1, (F.col("_near") + F.col("_n") / 2 + 2).cast("long"))).alias("_k"), F.col(share).alias("_share"))
-    rank = F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy((F.col("_share") / (2 * F.col("_k") - 1)).desc(), *[F.col(c).asc_nulls_last() for c in key]))
+    tried = s.select(*by, *key, "_open", F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_k"), F.col(share).alias("_share"))
+    rank = F.row_number().over(Window.partitionBy(*every).orderBy((F.col("_share") / (2 * F.col("_k") - 1)).desc(), *[F.col(c).asc_nulls_last() for c in key]))
     won = tried.where("_share > 0").withColumn("_r", rank).where("_r <= _open").groupBy(*by, *key).agg(F.count("*").alias("_won"))
     same = None
     for c in [*by, *key]:
         one = F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}"))
         same = one if same is None else same & one
-    return s.alias("s").join(won.alias("w"), same, "left").select("s.*", (F.col("s._low") + F.coalesce("w._won", F.lit(0))).alias("seats")).drop("_total", "_sum", "_n", "_near", "_low", "_open")
+    return s.alias("s").join(won.alias("w"), same, "left").select("s.*", (F.col("s._low") + F.coalesce("w._won", F.lit(0))).alias("seats")).drop("_total", "_sum", "_n", "_part", "_low", "_high", "_open")
 
 
 def _upto(x: Column, block: int) -> Column:

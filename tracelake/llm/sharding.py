@@ -10,6 +10,7 @@ Only the counts of at most MOST partitions come to the driver.
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,7 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-ROWS_EACH, MOST = 20_000, 4096
+#: Rows of a logical partition, and partitions at most: beyond 650 million rows the partitions grow instead, so the matrix on the driver stays bounded.
+ROWS_EACH, MOST = 20_000, 1 << 15
 
 
 def _ordered(df: DataFrame) -> list:
@@ -33,7 +35,7 @@ def matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
     out = []
     for n in counts:
         row, rest, need = [], int(left.sum()), n
-        for s in range(shards):  # one margin after the other; numpy's own draw is limited to 10^9 rows
+        for s in range(shards):  # one margin after the other
             rest -= int(left[s])
             row.append(_draw(rng, int(left[s]), rest, need))
             need -= row[-1]
@@ -42,16 +44,45 @@ def matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+def _log_ratio(a: int, b: int) -> float:
+    """log(a! / b!), without the loss that two large logarithms of factorials would have."""
+    if a == b:
+        return 0.0
+    if a < b:
+        return -_log_ratio(b, a)
+    if a - b <= 64:
+        return math.fsum(math.log(k) for k in range(b + 1, a + 1))
+    if b < 1000:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    series = lambda n: 1 / (12 * n) - 1 / (360 * n**3)
+    # Stirling's formula for both; (a - b) log b is split off, so nothing large cancels.
+    return (a - b) * math.log(b) + ((a + 0.5) * math.log1p((a - b) / b) - (a - b)) + series(a) - series(b)
+
+
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if n == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return n
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    total = good + bad  # beyond that the normal limit is exact to far less than a row in a million
-    x = rng.normal(n * good / total, (n * good / total * bad / total * (total - n) / max(total - 1, 1)) ** 0.5)
-    return int(min(max(round(x), n - bad, 0), good, n))
+    """How many of n rows drawn from good + bad are good: the hypergeometric law at any size, by rejection from the hat that bounds every log-concave law around its
+    mode (probability at most p * min(1, exp(1 - p * distance)), with p that of the mode)."""
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+
+    def log_to_mode(k: int) -> float:
+        return -(_log_ratio(k, mode) + _log_ratio(good - k, good - mode) + _log_ratio(n - k, n - mode) + _log_ratio(bad - n + k, bad - n + mode))
+
+    # Any p under that of the mode keeps the bound; the deviation gives one that is near.
+    deviation = math.sqrt(n * (good / (good + bad)) * (bad / (good + bad)) * ((good + bad - n) / (good + bad - 1))) if good + bad > 1 else 0.0
+    p = 1 / (1 + 4 * deviation)
+    wide = 1 + p / 2
+    while True:
+        if rng.random() <= wide / (1 + wide):
+            y, hat = rng.random() * wide / p, 0.0
+        else:
+            beyond = rng.exponential()
+            y, hat = (wide + beyond) / p, -beyond
+        k = mode + (round(y) if rng.random() < 0.5 else -round(y))
+        if low <= k <= high and math.log(rng.random()) + hat <= log_to_mode(k):
+            return k
 
 
 def shuffle_to_shards(df: DataFrame, key: list[str], shards: int = 24, seed: int = 17) -> DataFrame:
@@ -73,7 +104,7 @@ def shuffle_to_shards(df: DataFrame, key: list[str], shards: int = 24, seed: int
     plan = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("_p", "_ends"))
     ties = _ordered(keyed)
     dealt = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_h", *ties)))
-    # parts x shards numbers: at most 4096 x shards x 8 bytes, so the plan is broadcast at any input size.
+    # parts x shards numbers: at most MOST x shards x 8 bytes, so the plan is broadcast at any input size.
     dealt = dealt.join(F.broadcast(plan), "_p").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_k"))).cast("int"))
     blocks = int(min(max(n // shards // ROWS_EACH, 1), MOST))
     dealt = dealt.withColumn("_h", F.xxhash64(F.lit(seed + 2), *key)).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(blocks)).cast("int")).drop("_p", "_k", "_ends")

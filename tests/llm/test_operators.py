@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontam, jaccard, langid, licenses, mixing, passages, queries, sharding, substrings, topk, toxicity
+from tracelake.llm import common, decontam, jaccard, langid, licenses, mixing, passages, queries, sharding, substrings, topk, toxicity
 from tracelake.llm.common import bucket_of
 
 BLANK = "[^\x20\x09-\x0d]+"
@@ -122,6 +122,30 @@ def test_substrings(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_scratch(spark, monkeypatch):
+    """Tables go when asked for; without a shared folder only local mode has a substitute."""
+    import os
+
+    path = lambda df: df._scratch_path.removeprefix("file://")
+    outer = common.Scratch(spark)
+    with common.temporary():
+        inner = common.Scratch(spark).save(spark.range(3))
+        kept = outer.save(inner)
+        assert os.path.isdir(path(inner))
+    assert not os.path.exists(path(inner)) and kept.count() == 3
+    outer.drop(kept)
+    assert not os.path.exists(path(kept))
+
+    class Far:
+        conf = {}  # noqa: RUF012
+        sparkContext = type("Context", (), {"master": "yarn"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Far())
+    Far.conf["spark.checkpoint.dir"] = "hdfs://host/x/"
+    assert common.shared_dir(Far()) == "hdfs://host/x"
+
+
 def test_loser_tree():
     r = random.Random(4)
     strings = sorted(bytes(r.choices(b"ab", k=r.randrange(12))) for _ in range(300))

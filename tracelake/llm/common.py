@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import functools
+import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where none is set (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a new folder of this machine serves in local mode; on a cluster that would lose
+    data, so it is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dir()
     return base.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tracelake-")
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped when read up."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors. Those that are not dropped before go when the driver ends."""
+
+    #: Folders that exist: path to session.
+    made: ClassVar[dict[str, SparkSession]] = {}
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tracelake-{uuid.uuid4().hex}", 0
+        Scratch.made[self.root] = spark
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -38,10 +54,30 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary():
+    """Deletes the tables of all Scratch folders made inside. What is returned from inside must have been saved elsewhere."""
+    before = set(Scratch.made)
+    yield
+    for root in set(Scratch.made) - before:
+        _delete(Scratch.made.pop(root), root)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for root, spark in Scratch.made.items():
+        with contextlib.suppress(Exception):  # the session may have ended, and with it the way to its files
+            _delete(spark, root)
 
 
 def partitions(df: DataFrame, bytes_each: int = 8 << 20, least: int = 24) -> int:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.llm import decontam, jaccard, mixing, sharding, toxicity
-from tracelake.llm.common import Scratch, bucket_of, table
+from tracelake.llm.common import Scratch, bucket_of, table, temporary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5. Labels teach the grammar as in the query of its own; null and empty texts stay."""
     learned = toxicity.learn(docs, table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) != 0)
-    return toxicity.score(docs, *learned, keep=tuple(docs.columns)).where("score < 0.5").select(docs.columns)
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, *learned, keep=tuple(docs.columns), name=name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again by the next."""
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = scratch.save(out) if k < len(STAGES) - 1 else out
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with temporary():
+            out = scratch.save(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

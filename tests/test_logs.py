@@ -36,7 +36,7 @@ def test_error_logs(spark):
     a = lines.apache_error(of(spark, "[Wed Mar 05 10:00:01.000001 2025] [mod:error] [pid 7:tid 8] [client 198.51.100.4:99] text")).first()
     assert (a.time_created, a.severity, a.client_ip, a.client_port, a.message) == (dt.datetime(2025, 3, 5, 10, 0, 1, 1), "error", "198.51.100.4", "99", "text")
     t = records.tomcat(of(spark, "orphan", "05-Mar-2025 10:00:01.000 SEVERE [main] a.b.C.m text", "  at x", "", "  at y", "05-Mar-2025 10:00:02.000 INFO [main] a.b.C.m more")).orderBy("record").collect()
-    assert [x.message for x in t] == ["text\n  at x\n  at y", "more"]
+    assert [(x.ok, x.message) for x in t] == [(False, ""), (True, "text\n  at x\n  at y"), (True, "more")]
 
 
 def test_syslog_audit_journal(spark):

@@ -8,13 +8,20 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Message shapes of authentication events.
-ACCEPTED = r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)"
-FAILED = r"^Failed (\S+) for (?:invalid user )?(\S+) from (\S+) port (\d+)"
-INVALID = r"^Invalid user (\S+) from (\S+)"
-DISCONNECT = r"^(?:Received disconnect from|Disconnected from|Connection closed by)\s+(?:user\s+)?(?:invalid user\s+)?(\S+\s+)?(\d{1,3}(?:\.\d{1,3}){3}|[0-9a-fA-F:]+)"
-SUDO = r"^\s*(\S+)\s*:.*?\bCOMMAND=(.*)$"
-SESSION = r"pam_unix\([\w.-]+:session\):\s*session (opened|closed) for user (\S+)"
+from ..sources.grammar import BLANKS, DIGITS, REST, WORD, Field, Grammar, Token, maybe, one_of
+
+#: Messages of a login daemon: an attempt that was accepted or failed, with its method, user and source; an unknown user; the end of a connection.
+ATTEMPT = (" from ", Field("ip", WORD), " port ", Field("port", DIGITS))
+ACCEPTED = Grammar("Accepted ", Field("method", WORD), " for ", Field("user", WORD), *ATTEMPT, whole=False)
+FAILED = Grammar("Failed ", Field("method", WORD), " for ", maybe("invalid user "), Field("user", WORD), *ATTEMPT, whole=False)
+INVALID = Grammar("Invalid user ", Field("user", WORD), " from ", Field("ip", WORD), whole=False)
+ADDRESS = one_of(r"\d{1,3}(?:\.\d{1,3}){3}", "[0-9a-fA-F:]+")
+ENDINGS = one_of("Received disconnect from", "Disconnected from", "Connection closed by")
+DISCONNECT = Grammar(Token(ENDINGS), Token(BLANKS), maybe("user", Token(BLANKS)), maybe("invalid user", Token(BLANKS)), maybe(Field("user", WORD), Token(BLANKS)), Field("ip", ADDRESS), whole=False)
+#: A command run for another user, and sessions of the login modules.
+SUDO = Grammar(Token(r"\s*"), Field("user", WORD), Token(r"\s*"), ":", Token(r".*?\b"), "COMMAND=", Field("command", REST))
+SESSION = Grammar("pam_unix(", Token(r"[\w.-]+"), ":session):", Token(r"\s*"), "session ", Field("what", one_of("opened", "closed")), " for user ", Field("user", WORD), whole=False, anywhere=True)
+# Programs that manage accounts.
 ACCOUNT_TAGS = ("useradd", "userdel", "usermod", "groupadd", "groupdel", "passwd")
 # Hints of suspicious actions.
 PATH_HINTS = ("\\temp\\", "\\appdata\\", "\\public\\", "\\programdata\\", "\\users\\public\\")
@@ -31,26 +38,36 @@ def _group(text: Column, pattern: str, group: int) -> Column:
 
 def auth_events(syslog: DataFrame) -> DataFrame:
     """time_created, host, event_type, user, source_ip, source_port, auth_method, command, message, app_name of recognised rows. Rows that cannot be one are
-    filtered by cheap tests before any pattern runs."""
+    filtered by cheap tests before any pattern runs; each message is then read by the shapes of its program, once each, until one fits."""
     app, msg = F.lower(F.coalesce("app_name", F.lit(""))), F.coalesce("message", F.lit(""))
-    df = syslog.where(F.contains(app, F.lit("sshd")) | app.isin("sudo", *ACCOUNT_TAGS) | F.contains(msg, F.lit("pam_unix(")))
-    ssh = F.contains(app, F.lit("sshd"))
-    kind = (
-        F.when(ssh & msg.rlike(ACCEPTED), "ssh_accepted").when(ssh & msg.rlike(FAILED), "ssh_failed").when(ssh & msg.rlike(INVALID), "ssh_invalid_user").when(ssh & msg.rlike(DISCONNECT), "ssh_disconnected")
-        .when((app == "sudo") & msg.rlike(SUDO), "sudo_command").when(msg.rlike(SESSION), F.concat(F.lit("session_"), F.regexp_extract(msg, SESSION, 1))).when(app.isin(*ACCOUNT_TAGS), "account_management")
-    )
-    df = df.withColumn("event_type", kind).where("event_type is not null")
-    k = F.col("event_type")
-    is_ = lambda *names: k.isin(*names)
-    user = (
-        F.when(is_("ssh_accepted"), _group(msg, ACCEPTED, 2)).when(is_("ssh_failed"), _group(msg, FAILED, 2)).when(is_("ssh_invalid_user"), _group(msg, INVALID, 1)).when(is_("ssh_disconnected"), F.nullif(F.trim(F.regexp_extract(msg, DISCONNECT, 1)), F.lit("")))
-        .when(is_("sudo_command"), _group(msg, SUDO, 1)).when(is_("session_opened", "session_closed"), _group(msg, SESSION, 2)).otherwise(F.coalesce(_group(msg, r"name=([^,\s]+)", 1), _group(msg, "'([^']+)'", 1)))
-    )
-    ip = F.when(is_("ssh_accepted"), _group(msg, ACCEPTED, 3)).when(is_("ssh_failed"), _group(msg, FAILED, 3)).when(is_("ssh_invalid_user"), _group(msg, INVALID, 2)).when(is_("ssh_disconnected"), _group(msg, DISCONNECT, 2))
-    port = F.when(is_("ssh_accepted"), _group(msg, ACCEPTED, 4)).when(is_("ssh_failed"), _group(msg, FAILED, 4))
-    method = F.when(is_("ssh_accepted"), _group(msg, ACCEPTED, 1)).when(is_("ssh_failed"), _group(msg, FAILED, 1))
-    command = F.when(is_("sudo_command"), F.trim(F.regexp_extract(msg, SUDO, 2))).when(is_("account_management"), msg)
-    return df.select("time_created", "host", "event_type", user.alias("user"), ip.alias("source_ip"), port.alias("source_port"), method.alias("auth_method"), command.alias("command"), "message", "app_name")
+    ssh, pam, account = F.contains(app, F.lit("sshd")), F.contains(msg, F.lit("pam_unix(")), app.isin(*ACCOUNT_TAGS)
+    df = syslog.where(ssh | pam | app.isin("sudo") | account)
+    # In order of precedence: event type, when it is tried, shape.
+    shapes = (("ssh_accepted", ssh & msg.startswith("Accepted "), ACCEPTED), ("ssh_failed", ssh & msg.startswith("Failed "), FAILED), ("ssh_invalid_user", ssh & msg.startswith("Invalid "), INVALID), ("ssh_disconnected", ssh, DISCONNECT), ("sudo_command", app == "sudo", SUDO), ("session_", pam, SESSION))
+    read, done = df, F.lit(False)
+    for name, tried, shape in shapes:
+        read = read.withColumn(f"_{name}", F.when(tried & ~done, shape.read(msg)))
+        done = done | shape.matched(F.col(f"_{name}"))
+    got = lambda field: F.coalesce(*(shape.of(F.col(f"_{name}"), field) for name, _, shape in shapes if field in shape.names))
+    kind = None
+    for name, _, shape in shapes:
+        fits = shape.matched(F.col(f"_{name}"))
+        value = F.concat(F.lit(name), shape.of(F.col(f"_{name}"), "what")) if shape is SESSION else F.lit(name)
+        kind = F.when(fits, value) if kind is None else kind.when(fits, value)
+    managed = ~done & account
+    named = F.coalesce(_group(msg, r"name=([^,\s]+)", 1), _group(msg, "'([^']+)'", 1))
+    return read.withColumn("event_type", kind.when(account, F.lit("account_management"))).where("event_type is not null").select(
+        "time_created",
+        "host",
+        "event_type",
+        F.when(managed, named).otherwise(got("user")).alias("user"),
+        got("ip").alias("source_ip"),
+        got("port").alias("source_port"),
+        got("method").alias("auth_method"),
+        F.when(managed, msg).otherwise(F.trim(got("command"))).alias("command"),
+        "message",
+        "app_name",
+    )
 
 
 def _flagged(df: DataFrame, reasons: list[Column]) -> DataFrame:
@@ -98,7 +115,7 @@ def suspicious_registry(registry: DataFrame, entropy_threshold: float = 7.0, min
         F.when(F.contains(path, F.lit("\\services\\")) & name.isin("imagepath", "servicedll"), F.concat(F.lit("service "), named, F.lit(" -- verify it points where the service name implies"))),
         F.when(F.contains(path, F.lit("\\clsid\\")) & F.contains(path, F.lit("inprocserver32")), F.lit("COM CLSID InprocServer32 -- possible COM hijacking")),
         F.when(path.endswith("\\winlogon") & name.isin("shell", "userinit", "notify"), F.concat(F.lit("Winlogon "), named, F.lit(" -- verify against the expected default"))),
-        F.when(path.endswith("\\windows") & name.isin("appinit_dlls", "appcertdlls"), F.concat(named, F.lit(" is set -- rarely legitimate"))),
+        F.when(path.endswith("\\windows") & name.isin("appinit_dlls", "appcertdlls") & (text != ""), F.concat(named, F.lit(" is set -- rarely legitimate"))),
         F.when(F.contains(path, F.lit("image file execution options")) & (name == "debugger"), F.lit("IFEO Debugger hijack")),
         F.when(dense, F.format_string("high-entropy binary value (%.2f bits/byte, %d bytes)", "entropy", "value_size")),
     ]

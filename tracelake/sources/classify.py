@@ -10,7 +10,7 @@ from .records import GENERAL_HEADER, ORACLE_TIME, TOMCAT
 
 PEEK = 16 * 1024
 FIRST_LINE = (("web_error_nginx", NGINX), ("web_error_apache", APACHE), ("web_error_tomcat", TOMCAT), ("mysql_error", MYSQL_NEW), ("mysql_error", MYSQL_OLD), ("postgresql", POSTGRES), ("mssql", MSSQL), ("oracle_alert", ORACLE_TIME), ("web_access", CLF), ("auditd", AUDIT), ("syslog", RFC5424), ("syslog", BSD))
-_FIRST = [(kind, re.compile(p)) for kind, p in FIRST_LINE]
+_FIRST = [(kind, re.compile(p if isinstance(p, str) else p.pattern)) for kind, p in FIRST_LINE]
 
 
 def decode(raw: bytes) -> str:

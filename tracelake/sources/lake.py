@@ -184,7 +184,7 @@ class Case:
                 text = raw.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
             if kind == "syslog":
                 text = text.join(F.broadcast(info.select("file", "year")), "file")
-                modern = F.col("line").rlike(lines.RFC5424)
+                modern = F.col("line").rlike(lines.RFC5424.pattern)
                 rows = lines.syslog_5424(text.where(modern)).unionByName(lines.syslog_bsd(text.where(~modern), F.col("year")), allowMissingColumns=True)
             else:
                 rows = parse(text)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.known import KNOWN_TASKS
 from ..sources.grammar import BLANKS, DIGITS, REST, WORD, Field, Grammar, Token, maybe, one_of
 
 #: Messages of a login daemon: an attempt that was accepted or failed, with its method, user and source; an unknown user; the end of a connection.
@@ -82,26 +83,35 @@ def normal_command(command: Column) -> Column:
     return c
 
 
+def known_tasks(spark: SparkSession) -> DataFrame:
+    """The baseline: path and prefixes of the system's own tasks."""
+    return spark.createDataFrame([(path, list(prefixes)) for path, prefixes in KNOWN_TASKS], "path string, prefixes array<string>")
+
+
 def baseline_mismatch(df: DataFrame, baseline: DataFrame, path: str, command: str) -> DataFrame:
-    """df with mismatch: the path is in the baseline (path, prefixes) but the command begins with none of its prefixes. The baseline is a fixed list of some dozens of
-    rows, so it is broadcast."""
-    b = baseline.select(F.lower("path").alias("_path"), "prefixes")
-    out = df.join(F.broadcast(b), F.lower(path) == F.col("_path"), "left")
-    return out.withColumn("mismatch", F.coalesce(F.col("prefixes").isNotNull() & ~F.exists("prefixes", lambda p: F.startswith(normal_command(F.col(command)), p)), F.lit(False))).drop("_path", "prefixes")
+    """df with mismatch (the path is in the baseline, but the command begins with none of its prefixes) and mismatch_reason. Paths are compared trimmed and without case; without a
+    command there is nothing to compare. The baseline is a fixed list of some dozens of rows, so it is broadcast."""
+    b = baseline.select(F.lower(F.trim("path")).alias("_path"), "prefixes")
+    out = df.join(F.broadcast(b), F.lower(F.trim(path)) == F.col("_path"), "left")
+    fits = F.exists("prefixes", lambda p: F.startswith(normal_command(F.col(command)), F.lower(p)))
+    mismatch = F.coalesce(F.col("prefixes").isNotNull() & (F.col(command) != "") & ~fits, F.lit(False))
+    quoted = F.concat(F.lit("'"), F.replace(F.col(path), F.lit("\\"), F.lit("\\\\")), F.lit("'"))
+    reason = F.concat(F.lit("known Microsoft task path "), quoted, F.lit(" has an action executable outside its expected location(s) ("), F.array_join("prefixes", ", "), F.lit(")"))
+    return out.withColumn("mismatch", mismatch).withColumn("mismatch_reason", F.when(mismatch, reason)).drop("_path", "prefixes")
 
 
 def suspicious_tasks(tasks: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """Tasks with suspicion_reasons. Without a baseline of the caller's own the known tasks hold."""
     actions = F.lower(F.coalesce("actions", F.lit("")))
+    tasks = baseline_mismatch(tasks, known_tasks(tasks.sparkSession) if baseline is None else baseline, "task_path", "action_command")
     reasons = [
         F.when(_any(actions, PATH_HINTS), F.lit("action executable under a user-writable/temp-like path")),
         F.when(_any(actions, COMMAND_HINTS), F.lit("action invokes a common LOLBin")),
         F.when(F.coalesce("author", F.lit("")) == "", F.lit("no author recorded")),
         F.when(F.coalesce("hidden", F.lit(False)), F.lit("task is hidden")),
+        F.col("mismatch_reason"),
     ]
-    if baseline is not None:
-        tasks = baseline_mismatch(tasks, baseline, "task_path", "action_command")
-        reasons.append(F.when(F.col("mismatch"), F.lit("known task path with an unexpected command")))
-    return _flagged(tasks, reasons).drop("mismatch")
+    return _flagged(tasks, reasons).drop("mismatch", "mismatch_reason")
 
 
 def suspicious_registry(registry: DataFrame, entropy_threshold: float = 7.0, min_size: int = 32) -> DataFrame:

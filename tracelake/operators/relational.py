@@ -32,3 +32,18 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 def not_committed(files: DataFrame, ledger: DataFrame, identity: list[str]) -> DataFrame:
     """Files whose identity is not in the ledger."""
     return files.join(ledger.select(*identity), identity, "left_anti")
+
+
+def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Row k of one side with row k of the other, in a given order; the shorter side is filled with nulls. Places are counted in two steps: rows are sorted into ranges, and each
+    range adds the number of rows before it, so no task sees a whole side."""
+    return _placed(left, left_order).join(_placed(right, right_order), "_place", "full").drop("_place")
+
+
+def _placed(df: DataFrame, order: str) -> DataFrame:
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    own = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # One row a range: a sort of some hundred numbers.
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return own.join(F.broadcast(before), "_part").withColumn("_place", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")

@@ -13,7 +13,7 @@ from .functions.casts import timestamp
 from .functions.values import entropy, json_member, uri_parts
 from .operators import heuristics, relational, sigma, views
 from .operators.search import discover_fields, search
-from .sources import lines, records
+from .sources import agents, lines, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,7 +46,7 @@ simple("search_contains_literal_wildcards", "documents", r"SELECT doc_id FROM do
 simple("search_regex_ci", "documents", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'version [0-9]', 'i')", lambda d: search(d, regex={"text": "version [0-9]"}).select("doc_id"))
 simple("search_regex_cased", "pages", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.]+/[a-z]+')", lambda d: search(d, regex={"url": "^https?://[a-z0-9.]+/[a-z]+"}, case_sensitive=True).select("page_id", "url"))
 simple("search_json_key", "events", "SELECT event_id, props FROM events WHERE props->>'k' = '7'", lambda d: search(d, eq={"k": 7}).select("event_id", "props"))
-simple("search_json_missing_key", "events", "SELECT event_id FROM events WHERE props->>'absent' = '7'", lambda d: search(d, eq={"absent": "7"}).select("event_id"))
+simple("search_json_missing_key", "events", "SELECT event_id FROM events WHERE event_type = 'click' OR props->>'absent' = '7'", lambda d: search(d, eq={"absent": "7", "event_type": "click"}, match="any").select("event_id"))
 simple("search_multi_value_or", "events", "SELECT event_id, event_type FROM events WHERE lower(event_type) IN ('click', 'view')", lambda d: search(d, eq={"event_type": ["click", "View"]}).select("event_id", "event_type"))
 simple("search_match_any", "events", "SELECT event_id FROM events WHERE lower(event_type) = 'error' OR props->>'k' ILIKE '%8%'", lambda d: search(d, eq={"event_type": "error"}, contains={"k": "8"}, match="any").select("event_id"))
 simple("search_match_all", "events", "SELECT event_id FROM events WHERE lower(event_type) = 'click' AND props->>'k' ILIKE '%8%'", lambda d: search(d, eq={"event_type": "click"}, contains={"k": "8"}).select("event_id"))
@@ -102,12 +102,15 @@ def _iis(spark, sf):
 
 
 query("iis_kv_parse", "SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS time_created, '10.1.1.1' AS server_ip, 'GET' AS method, concat('/e/', event_id) AS uri_stem, CASE WHEN event_id % 2 <> 0 THEN 'q=1' END AS uri_query, (200 + event_id % 4)::INTEGER AS status FROM events")(_iis)
+# Written out here, so that the oracles do not take them from the parser.
+_FACILITIES = "['kern', 'user', 'mail', 'daemon', 'auth', 'syslog', 'lpr', 'news', 'uucp', 'cron', 'authpriv', 'ftp', 'ntp', 'security', 'console', 'clock', 'local0', 'local1', 'local2', 'local3', 'local4', 'local5', 'local6', 'local7']"
+_SEVERITIES = "['emerg', 'alert', 'crit', 'err', 'warning', 'notice', 'info', 'debug']"
 _BSD = "concat('<', event_id % 190, '>', date_format(ts, 'MMM'), ' ', lpad(day(ts), 2, ' '), ' ', date_format(ts, 'HH:mm:ss'), ' box', user_id, ' sshd[', event_id, ']: ', event_type, ' ok')"
-query("syslog_bsd_parse", f"""SELECT event_id, (date_trunc('second', ts) - (year(ts) - 2024) * INTERVAL 1 YEAR)::TIMESTAMP AS time_created, concat('box', user_id) AS hostname, list_extract({lines.FACILITIES}, ((event_id % 190) // 8 + 1)::INTEGER) AS facility, list_extract({lines.SEVERITIES}, ((event_id % 190) % 8 + 1)::INTEGER) AS severity, 'sshd' AS app_name, event_id::VARCHAR AS proc_id, concat(event_type, ' ok') AS message FROM events""")(
+query("syslog_bsd_parse", f"""SELECT event_id, (date_trunc('second', ts) - (year(ts) - 2024) * INTERVAL 1 YEAR)::TIMESTAMP AS time_created, concat('box', user_id) AS hostname, list_extract({_FACILITIES}, ((event_id % 190) // 8 + 1)::INTEGER) AS facility, list_extract({_SEVERITIES}, ((event_id % 190) % 8 + 1)::INTEGER) AS severity, 'sshd' AS app_name, event_id::VARCHAR AS proc_id, concat(event_type, ' ok') AS message FROM events""")(
     lambda spark, sf: lines.syslog_bsd(_event_lines(spark, sf, _BSD), F.lit(2024)).select(F.col("line_no").alias("event_id"), "time_created", "hostname", "facility", "severity", "app_name", "proc_id", "message")
 )
 _5424 = "concat('<', event_id % 192, '>1 ', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '+01:00 h', user_id, ' app ', event_id, ' ID', event_id % 7, ' [x@1 k=\"', event_type, '\"] hello ', event_id)"
-query("syslog_5424_pri", f"SELECT event_id, date_trunc('second', ts)::TIMESTAMP - INTERVAL 1 HOUR AS time_created, concat('h', user_id) AS hostname, list_extract({lines.FACILITIES}, ((event_id % 192) // 8 + 1)::INTEGER) AS facility, list_extract({lines.SEVERITIES}, ((event_id % 192) % 8 + 1)::INTEGER) AS severity, concat('ID', event_id % 7) AS msg_id, concat('{{\"x@1\":{{\"k\":\"', event_type, '\"}}}}') AS structured_data, concat('hello ', event_id) AS message FROM events")(
+query("syslog_5424_pri", f"SELECT event_id, date_trunc('second', ts)::TIMESTAMP - INTERVAL 1 HOUR AS time_created, concat('h', user_id) AS hostname, list_extract({_FACILITIES}, ((event_id % 192) // 8 + 1)::INTEGER) AS facility, list_extract({_SEVERITIES}, ((event_id % 192) % 8 + 1)::INTEGER) AS severity, concat('ID', event_id % 7) AS msg_id, concat('{{\"x@1\":{{\"k\":\"', event_type, '\"}}}}') AS structured_data, concat('hello ', event_id) AS message FROM events")(
     lambda spark, sf: lines.syslog_5424(_event_lines(spark, sf, _5424)).select(F.col("line_no").alias("event_id"), "time_created", "hostname", "facility", "severity", "msg_id", "structured_data", "message")
 )
 _AUDIT = "concat('type=SYSCALL msg=audit(', unix_seconds(cast(ts as timestamp)), '.123:', event_id, '): syscall=', event_id % 300, ' success=yes exe=\"/bin/', event_type, '\" uid=', user_id, ' extra=1')"
@@ -167,7 +170,7 @@ def _tasks(spark, sf):
     p = t(spark, sf, "part")
     k = F.col("p_partkey")
     actions = F.when(k % 5 == 0, "[{\"Command\": \"C:\\\\Temp\\\\a.exe\"}]").when(k % 5 == 1, "[{\"Command\": \"powershell -enc\"}]").otherwise("[]")
-    return p.select(k.alias("p_partkey"), F.concat(F.lit("\\T\\"), k.cast("string")).alias("task_path"), F.when(k % 3 == 0, F.lit(None)).otherwise(F.lit("a")).alias("author"), (k % 4 == 0).alias("hidden"), actions.alias("actions"))
+    return p.select(k.alias("p_partkey"), F.concat(F.lit("\\T\\"), k.cast("string")).alias("task_path"), F.lit("c:\\x.exe").alias("action_command"), F.when(k % 3 == 0, F.lit(None)).otherwise(F.lit("a")).alias("author"), (k % 4 == 0).alias("hidden"), actions.alias("actions"))
 
 
 query("suspicious_reasons", """SELECT p_partkey, concat_ws('; ', CASE WHEN p_partkey % 5 = 0 THEN 'action executable under a user-writable/temp-like path' END, CASE WHEN p_partkey % 5 = 1 THEN 'action invokes a common LOLBin' END, CASE WHEN p_partkey % 3 = 0 THEN 'no author recorded' END, CASE WHEN p_partkey % 4 = 0 THEN 'task is hidden' END) AS reasons
@@ -181,7 +184,13 @@ def _baseline(spark, sf):
 
 
 query("baseline_mismatch", "SELECT p_partkey, coalesce((p_brand = 'Brand#11' AND p_partkey % 3 <> 0) OR (p_brand = 'Brand#22' AND p_partkey % 3 <> 1), false) AS mismatch FROM part")(_baseline)
-simple("entropy_bits", "benchmark", "WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark), n AS (SELECT item_id, ch, count(*) AS k FROM c GROUP BY ALL), s AS (SELECT item_id, sum(k) AS m FROM n GROUP BY ALL) SELECT n.item_id, round(-sum(k / m * log2(k / m)), 6) AS bits FROM n JOIN s ON n.item_id = s.item_id GROUP BY n.item_id", lambda d: d.select("item_id", F.round(entropy(F.col("text")), 6).alias("bits")))
+simple(
+    "entropy_bits",
+    "benchmark",
+    """WITH c AS (SELECT item_id, unnest(regexp_extract_all(hex(text), '..')) AS byte FROM benchmark), n AS (SELECT item_id, byte, count(*) AS k FROM c GROUP BY ALL),
+s AS (SELECT item_id, sum(k) AS m FROM n GROUP BY ALL) SELECT n.item_id, round(-sum(k / m * log2(k / m)), 6) AS bits FROM n JOIN s ON n.item_id = s.item_id GROUP BY n.item_id""",
+    lambda d: d.select("item_id", F.round(entropy(F.col("text")), 6).alias("bits")),
+)
 simple("registry_reasons", "documents", """SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'startup item pointing at a user-writable/temp-like path' ELSE 'startup item (Run/RunOnce key)' END END, CASE WHEN doc_id % 3 = 1 THEN 'service ImagePath -- verify it points where the service name implies' END, CASE WHEN doc_id % 5 = 0 THEN 'high-entropy binary value (7.50 bits/byte, 64 bytes)' END) AS reasons FROM documents WHERE doc_id % 3 < 2 OR doc_id % 5 = 0""",
     lambda d: heuristics.suspicious_registry(d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "HKLM\\SOFTWARE\\Microsoft\\Windows\\CurrentVersion\\Run").when(F.col("doc_id") % 3 == 1, "HKLM\\SYSTEM\\Services\\x").otherwise("HKLM\\y").alias("full_path"), F.when(F.col("doc_id") % 3 == 1, "ImagePath").otherwise("v").alias("value_name"), F.when(F.col("doc_id") % 2 == 0, "C:\\Temp\\a.exe").otherwise("x").alias("value_text"), F.when(F.col("doc_id") % 5 == 0, 7.5).otherwise(1.0).alias("entropy"), F.lit(64).alias("value_size"))).select("doc_id", F.array_join("suspicion_reasons", "; ").alias("reasons")))
 
@@ -212,7 +221,7 @@ def _sigma(key):
     return lambda spark, sf: sigma.match(_sigma_rows(spark, sf), [(rule, sigma.Compiler().compile(rule))]).select("event_id", "sigma_rule_id", "sigma_level", "sigma_attack_ids")
 
 
-_LEVEL = {k: sigma.parse_rules(v)[0].level for k, v in RULES.items()}
+_LEVEL = {"sel": "high", "filter_not": "medium", "one_of": "low", "all_of": "critical", "cidr": "medium", "regex": "medium", "is_null": "low"}
 for _name, _key in (("sigma_selection", "sel"), ("sigma_filter_not", "filter_not"), ("sigma_1_of", "one_of"), ("sigma_all_of", "all_of"), ("sigma_cidr", "cidr"), ("sigma_regex", "regex"), ("sigma_null", "is_null")):
     query(_name, f"SELECT event_id, '{_key}' AS sigma_rule_id, '{_LEVEL[_key]}' AS sigma_level, 'T1059.001' AS sigma_attack_ids FROM events WHERE {_WHERE[_key]}")(_sigma(_key))
 
@@ -222,7 +231,7 @@ def _hunt(spark, sf, level):
 
 
 query("hunt_rule_summary", " UNION ALL ".join(f"SELECT '{k}' AS rule_id, '{_LEVEL[k]}' AS level, count(*)::BIGINT AS matches FROM events WHERE {_WHERE[k]}" for k in RULES))(lambda spark, sf: _hunt(spark, sf, None).summary.select("rule_id", "level", "matches"))
-query("hunt_matches", " UNION ALL ".join(f"SELECT event_id, '{k}' AS sigma_rule_id FROM events WHERE {_WHERE[k]}" for k in RULES if sigma.LEVELS[_LEVEL[k]] >= 2))(lambda spark, sf: _hunt(spark, sf, "medium").matches["web_logs"].select("event_id", "sigma_rule_id"))
+query("hunt_matches", " UNION ALL ".join(f"SELECT event_id, '{k}' AS sigma_rule_id FROM events WHERE {_WHERE[k]}" for k in RULES if _LEVEL[k] != "low"))(lambda spark, sf: _hunt(spark, sf, "medium").matches["web_logs"].select("event_id", "sigma_rule_id"))
 
 # Ledger, provenance -------------------------------------------------------------------------------------------------------------------------------
 query("manifest_join", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")(lambda spark, sf: t(spark, sf, "lineitem").join(t(spark, sf, "orders").where("o_orderstatus = 'F'"), F.expr("l_orderkey = o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey"))
@@ -235,7 +244,7 @@ PASS = {
     "left": "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "full": "SELECT c.c_custkey AS c_custkey, s.s_suppkey AS s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey",
     "semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
-    "anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "lateral": "SELECT c_custkey, m FROM customer, LATERAL (SELECT max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) WHERE m IS NOT NULL",
     "rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, cast(sum(l_quantity) AS bigint) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
@@ -282,6 +291,99 @@ query("passthrough_range", "SELECT p_partkey, n_nationkey FROM part JOIN nation
 simple("qualify", "events", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1", lambda d: relational.top_k(d, ["user_id"], [F.col("value").desc(), F.col("event_id")], 1).select("event_id", "user_id"))
 
 
+# Dialect that differs: each engine's own words for the same rows -----------------------------------------------------------------------------------
+def both(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
+    query(f"passthrough_{name}", duck_sql or spark_sql)(_pass(spark_sql))
+
+
+both("right_join", "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 9000")
+both("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_regionkey <> r_regionkey")
+both(
+    "window_ntile",
+    """SELECT o_orderkey, cast(ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS int) AS quarter,
+first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first_order,
+cast(count(*) OVER (PARTITION BY o_custkey ORDER BY o_shippriority RANGE BETWEEN 0 PRECEDING AND CURRENT ROW) AS bigint) AS peers FROM (SELECT *, o_orderkey % 5 AS o_shippriority FROM orders)""",
+)
+both("percent_rank", "SELECT c_custkey, round(percent_rank() OVER (ORDER BY c_acctbal, c_custkey), 9) AS p, round(cume_dist() OVER (ORDER BY c_acctbal, c_custkey), 9) AS d FROM customer")
+both("quantile", "SELECT l_returnflag, percentile(l_quantity, 0.5) AS median, percentile(l_quantity, 0.9) AS high FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5)::DOUBLE AS median, quantile_cont(l_quantity, 0.9)::DOUBLE AS high FROM lineitem GROUP BY l_returnflag")
+both("bool_aggregates", "SELECT o_orderpriority, bool_and(o_totalprice > 1000) AS every, bool_or(o_totalprice > 400000) AS any_large, max_by(o_orderkey, o_totalprice * 1000000 + o_orderkey) AS dearest FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, bool_and(o_totalprice > 1000) AS every, bool_or(o_totalprice > 400000) AS any_large, arg_max(o_orderkey, o_totalprice * 1000000 + o_orderkey) AS dearest FROM orders GROUP BY o_orderpriority")
+both("string_agg", "SELECT n_regionkey, listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+both("collect", "SELECT n_regionkey, array_join(sort_array(collect_set(substr(n_name, 1, 1))), ',') AS letters FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(list(DISTINCT substr(n_name, 1, 1))), ',') AS letters FROM nation GROUP BY n_regionkey")
+both("except_columns", "SELECT * EXCEPT (n_comment) FROM (SELECT n_nationkey, n_name, n_regionkey, 1 AS n_comment FROM nation)", "SELECT * EXCLUDE (n_comment) FROM (SELECT n_nationkey, n_name, n_regionkey, 1 AS n_comment FROM nation)")
+both("double_colon_cast", "SELECT o_orderkey::string AS k, o_totalprice::bigint AS price FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_orderkey::VARCHAR AS k, trunc(o_totalprice)::BIGINT AS price FROM orders WHERE o_orderkey % 2 = 0")
+both("unpivot", "SELECT p_partkey, measure, value FROM (SELECT p_partkey, cast(p_size AS double) AS size, cast(p_retailprice AS double) AS price FROM part) UNPIVOT (value FOR measure IN (size, price))", "UNPIVOT (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice::DOUBLE AS price FROM part) ON size, price INTO NAME measure VALUE value")
+both("dates", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, cast(year(o_orderdate) AS bigint) AS y, cast(quarter(o_orderdate) AS bigint) AS q, cast(dayofyear(o_orderdate) AS bigint) AS n, cast(o_orderdate + INTERVAL 3 DAYS AS timestamp_ntz) AS later, cast(datediff(o_orderdate, DATE '1990-01-01') AS bigint) AS days FROM (SELECT o_orderkey, cast(o_orderdate AS timestamp_ntz) AS o_orderdate FROM orders)", "SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS month, year(o_orderdate)::BIGINT AS y, quarter(o_orderdate)::BIGINT AS q, dayofyear(o_orderdate)::BIGINT AS n, (o_orderdate + INTERVAL 3 DAY)::TIMESTAMP AS later, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::BIGINT AS days FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP AS o_orderdate FROM orders)")
+both("strings", "SELECT c_custkey, upper(c_name) AS u, lpad(cast(c_custkey AS string), 8, '0') AS padded, reverse(c_name) AS r, replace(c_name, '#', '-') AS dashed, cast(length(c_name) AS bigint) AS n, cast(instr(c_name, '#') AS bigint) AS at, split_part(c_name, '#', 2) AS tail, regexp_replace(c_name, '[0-9]+', 'N') AS masked, c_name ILIKE 'customer%1' AS one FROM customer", "SELECT c_custkey, upper(c_name) AS u, lpad(c_custkey::VARCHAR, 8, '0') AS padded, reverse(c_name) AS r, replace(c_name, '#', '-') AS dashed, length(c_name)::BIGINT AS n, strpos(c_name, '#')::BIGINT AS at, split_part(c_name, '#', 2) AS tail, regexp_replace(c_name, '[0-9]+', 'N', 'g') AS masked, c_name ILIKE 'customer%1' AS one FROM customer")
+both("lists_and_maps", "SELECT item_id, cast(size(words) AS bigint) AS n, words[0] AS first, array_contains(words, 'the') AS has_the, array_join(slice(array_sort(array_distinct(words)), 1, 3), ' ') AS some FROM (SELECT item_id, split(text, ' ') AS words FROM benchmark)", "SELECT item_id, len(words)::BIGINT AS n, words[1] AS first, list_contains(words, 'the') AS has_the, array_to_string(list_sort(list_distinct(words))[1:3], ' ') AS some FROM (SELECT item_id, string_split(text, ' ') AS words FROM benchmark)")
+both("json_types", "SELECT event_id, get_json_object(props, '$.k') AS k, cast(get_json_object(props, '$.k') AS bigint) + 1 AS next FROM events", "SELECT event_id, props->>'k' AS k, (props->>'k')::BIGINT + 1 AS next FROM events")
+both("offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 30")
+both("named_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 500000), named AS (SELECT c_name, total FROM big JOIN customer ON c_custkey = o_custkey) SELECT c_name, round(total, 2) AS total FROM named")
+
+
+def _by_name(spark, sf):
+    c = t(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    s = t(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+query("passthrough_union_by_name", "SELECT c_nationkey AS k, c_name AS name FROM customer UNION ALL BY NAME SELECT s_name AS name, s_acctbal AS balance FROM supplier")(_by_name)
+
+
+def _quoted(spark, sf):
+    return t(spark, sf, "nation").select(F.col("n_name").alias("a name"), F.col("n_regionkey").alias("x.y")).where("`x.y` > 1")
+
+
+query("passthrough_quoted_identifiers", 'SELECT n_name AS "a name", n_regionkey AS "x.y" FROM nation WHERE n_regionkey > 1')(_quoted)
+query("passthrough_positional", "SELECT a.n_name AS n_name, b.r_name AS r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a FULL JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) b USING (i)")(
+    lambda spark, sf: relational.positional_join(t(spark, sf, "nation").select("n_name", "n_nationkey"), t(spark, sf, "region").select("r_name", "r_regionkey"), "n_nationkey", "r_regionkey").select("n_name", "r_name")
+)
+#: A sample is random, so only its plan and its schema can be compared, not rows: no oracle.
+query("passthrough_sample")(_pass("SELECT o_orderkey, o_totalprice FROM orders TABLESAMPLE (10 PERCENT) REPEATABLE (7)"))
+
+# More parsers, over lines rendered from events ----------------------------------------------------------------------------------------------------
+_NGINX = "concat(date_format(ts, 'yyyy/MM/dd HH:mm:ss'), ' [error] ', event_id, '#', user_id, ': *', event_id, ' open() failed, client: 10.0.0.', user_id % 250, ', server: x')"
+query("web_error_nginx_parse", "SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS time_created, 'error' AS severity, concat(event_id, '#', user_id) AS pid_or_thread, concat('10.0.0.', user_id % 250) AS client_ip, concat('open() failed, client: 10.0.0.', user_id % 250, ', server: x') AS message FROM events")(
+    lambda spark, sf: lines.nginx_error(_event_lines(spark, sf, _NGINX)).select(F.col("line_no").alias("event_id"), "time_created", "severity", "pid_or_thread", "client_ip", "message")
+)
+_APACHE = "concat('[', date_format(ts, 'EEE MMM dd HH:mm:ss.SSSSSS yyyy'), '] [core:warn] [pid ', event_id, ':tid 9] [client 10.0.0.', user_id % 250, ':', 1000 + event_id % 60000, '] AH1 ', event_type)"
+query("web_error_apache_parse", "SELECT event_id, ts AS time_created, 'warn' AS severity, event_id::VARCHAR AS pid_or_thread, concat('10.0.0.', user_id % 250) AS client_ip, (1000 + event_id % 60000)::VARCHAR AS client_port, concat('AH1 ', event_type) AS message FROM events")(
+    lambda spark, sf: lines.apache_error(_event_lines(spark, sf, _APACHE)).select(F.col("line_no").alias("event_id"), "time_created", "severity", "pid_or_thread", "client_ip", "client_port", "message")
+)
+_TOMCAT = "CASE WHEN event_id % 3 = 0 THEN concat(date_format(ts, 'dd-MMM-yyyy HH:mm:ss.SSS'), ' INFO [main] a.B.c m', event_id) ELSE concat('  at x', event_id) END"
+query("web_error_tomcat_parse", """WITH e AS (SELECT *, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS r FROM events),
+m AS (SELECT user_id, r, CASE WHEN r = 0 THEN event_id END AS orphan, min(CASE WHEN event_id % 3 = 0 THEN date_trunc('milliseconds', ts)::TIMESTAMP END) AS time_created, string_agg(CASE WHEN event_id % 3 = 0 THEN concat('m', event_id) ELSE concat('  at x', event_id) END, chr(10) ORDER BY event_id) AS message FROM e GROUP BY user_id, r, orphan)
+SELECT user_id::VARCHAR AS file, r > 0 AS ok, time_created, CASE WHEN r > 0 THEN message ELSE '' END AS message FROM m""")(
+    lambda spark, sf: records.tomcat(_event_lines(spark, sf, _TOMCAT)).select("file", "ok", "time_created", "message")
+)
+_MYSQL = "CASE WHEN event_id % 4 = 0 THEN 'noise' ELSE concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), 'Z ', user_id, ' [Warning] [MY-', 10000 + event_id % 9, '] [Server] ', event_type) END"
+query("db_mysql_error_parse", "SELECT event_id, event_id % 4 <> 0 AS ok, CASE WHEN event_id % 4 <> 0 THEN ts END AS time_created, CASE WHEN event_id % 4 <> 0 THEN 'Warning' END AS severity, CASE WHEN event_id % 4 <> 0 THEN concat('MY-', 10000 + event_id % 9) END AS error_code, CASE WHEN event_id % 4 <> 0 THEN event_type END AS message FROM events")(
+    lambda spark, sf: lines.mysql_error(_event_lines(spark, sf, _MYSQL)).select(F.col("line_no").alias("event_id"), "ok", "time_created", "severity", "error_code", "message")
+)
+_MSSQL = "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SS'), ' spid', user_id, '      ', event_type)"
+query("db_mssql_parse", "SELECT event_id, (date_trunc('second', ts) + (extract(millisecond FROM ts)::BIGINT % 1000 // 10 * 10) * INTERVAL 1 MILLISECOND)::TIMESTAMP AS time_created, user_id::VARCHAR AS thread_id, event_type AS message FROM events")(
+    lambda spark, sf: lines.mssql(_event_lines(spark, sf, _MSSQL)).select(F.col("line_no").alias("event_id"), "time_created", "thread_id", "message")
+)
+_ORACLE = "CASE WHEN event_id % 2 = 0 THEN concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), '+02:00') ELSE concat('ORA-', lpad(cast(event_id % 100000 AS string), 5, '0'), ': ', event_type) END"
+query("db_oracle_parse", """WITH e AS (SELECT *, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS r FROM events)
+SELECT user_id::VARCHAR AS file, r::BIGINT AS record, (min(CASE WHEN event_id % 2 = 0 THEN ts END) - INTERVAL 2 HOUR)::TIMESTAMP AS time_created, min(CASE WHEN event_id % 2 = 1 THEN concat('ORA-', lpad((event_id % 100000)::VARCHAR, 5, '0')) END) AS one_code, count(*) FILTER (WHERE event_id % 2 = 1)::BIGINT AS body FROM e WHERE r > 0 GROUP BY ALL""")(
+    lambda spark, sf: records.oracle_alert(_event_lines(spark, sf, _ORACLE)).where("ok").select("file", "record", "time_created", F.array_min(F.regexp_extract_all("message", F.lit(r"(ORA-\d{5})"), F.lit(1))).alias("one_code"), F.size(F.filter(F.split("message", "\n"), lambda x: x != "")).cast("long").alias("body"))
+)
+_QCLOUD = "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS'), ' ', event_id, ' 7 WRN ', CASE event_id % 4 WHEN 3 THEN 'netflow' ELSE 'mod' END, ':12 ', CASE event_id % 4 WHEN 0 THEN concat('login failed user:u', user_id, ' ip:10.0.0.1 block:1 port:22') WHEN 1 THEN concat('Accepted password for u', user_id, ' from 10.0.0.2 port 99') WHEN 2 THEN 'BlackIpList changed' ELSE 'plain' END)"
+query("qcloud_events_parse", """SELECT event_id, date_trunc('milliseconds', ts)::TIMESTAMP AS time_created, CASE event_id % 4 WHEN 0 THEN 'login_failure' WHEN 1 THEN 'login_success' WHEN 2 THEN 'ip_blocklist' ELSE 'network_flow' END AS event_type,
+CASE WHEN event_id % 4 < 2 THEN concat('u', user_id) END AS user_name, CASE event_id % 4 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN '10.0.0.2' END AS source_ip, CASE event_id % 4 WHEN 0 THEN '22' WHEN 1 THEN '99' END AS destination_port, CASE WHEN event_id % 4 = 0 THEN true END AS blocked FROM events""")(
+    lambda spark, sf: agents.qcloud("qcloud_ydservice")(_event_lines(spark, sf, _QCLOUD)).select(F.col("process_id").cast("long").alias("event_id"), F.col("time_created").cast("timestamp_ntz").alias("time_created"), "event_type", "user_name", "source_ip", "destination_port", "blocked")
+)
+_AEGIS = "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), CASE event_id % 3 WHEN 0 THEN concat(' [Info] [', event_id, '] Add task:t', user_id, ' id:', event_id, ' qlen:3') WHEN 1 THEN concat(' [', event_id, '][warn] Task ', event_id, ' complete! taken: ', user_id, 'ms') ELSE concat(' [', event_id, '] {\"a\":', user_id, '}') END, '\n')"
+query("aegis_events_parse", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'INFO' WHEN 1 THEN 'WARN' END AS severity, CASE event_id % 3 WHEN 0 THEN 'task_queued' WHEN 1 THEN 'task_completed' END AS event_type, CASE WHEN event_id % 3 = 0 THEN concat('t', user_id) END AS task_name,
+CASE WHEN event_id % 3 = 1 THEN user_id END::BIGINT AS duration_ms, CASE event_id % 3 WHEN 0 THEN '{"line_count":1,"queue_length":3}' WHEN 1 THEN '{"line_count":1}' ELSE concat('{"line_count":1,"json_payload":{"a":', user_id, '}}') END AS extra FROM events""")(
+    lambda spark, sf: agents.aegis(_event_lines(spark, sf, _AEGIS)).select(F.col("context_id").cast("long").alias("event_id"), "severity", "event_type", "task_name", "duration_ms", "extra")
+)
+_KNOWN = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'known Microsoft task path ''\\\\Microsoft\\\\Windows\\\\Defrag\\\\ScheduledDefrag'' has an action executable outside its expected location(s) (c:\\windows\\system32\\defrag.exe)' END AS reason FROM part"
+query("known_task_hijack", _KNOWN.replace("\\\\", "\x00").replace("\\", "\\").replace("\x00", "\\\\"))(
+    lambda spark, sf: heuristics.baseline_mismatch(t(spark, sf, "part").select("p_partkey", F.lit(" \\microsoft\\Windows\\Defrag\\ScheduledDefrag").alias("path"), F.when(F.col("p_partkey") % 2 == 0, "%temp%\\defrag.exe").otherwise('"%SystemRoot%\\System32\\defrag.exe" -c').alias("cmd")).withColumn("path", F.lit("\\Microsoft\\Windows\\Defrag\\ScheduledDefrag")), heuristics.known_tasks(spark), "path", "cmd").select("p_partkey", F.col("mismatch_reason").alias("reason"))
+)
+
+
 # Delivery and storage -----------------------------------------------------------------------------------------------------------------------------
 def _chunks(spark, sf):
     d = t(spark, sf, "events").select("event_id", "user_id", "event_type")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from pathlib import PurePath
 
+from . import agents
 from .lines import APACHE, AUDIT, BSD, CLF, MSSQL, MYSQL_NEW, MYSQL_OLD, NGINX, POSTGRES, RFC5424
 from .records import GENERAL_HEADER, ORACLE_TIME, TOMCAT
 
@@ -30,8 +32,8 @@ def decode(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
-def classify(raw: bytes) -> str | None:
-    """Format of a file that begins with these bytes, or None."""
+def classify(raw: bytes, path: PurePath | None = None) -> str | None:
+    """Format of a file that begins with these bytes, or None. The path counts as evidence for agents' logs only."""
     raw = raw[:PEEK]
     if raw[:4] == b"regf":
         return "registry_hive"
@@ -81,7 +83,10 @@ def classify(raw: bytes) -> str | None:
         return "iis"
     if fields and "," in fields:
         return "exchange_message_tracking" if tracking else "exchange_generic"
-    return next((kind for kind, p in _FIRST if first is not None and p.match(first)), None)
+    if first is None:
+        return None
+    known = agents.kind_of(first, text, path) or next((kind for kind, p in _FIRST if p.match(first)), None)
+    return known or agents.aegis_kind(text.splitlines(), text, path)
 
 
 def web_log_type(path: str) -> str:

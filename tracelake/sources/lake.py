@@ -6,12 +6,16 @@ list of files they opened with, so a commit or compaction never changes what the
 
 from __future__ import annotations
 
+import codecs
+import datetime
 import fcntl
 import hashlib
 import json
 import os
 import shutil
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -21,10 +25,16 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import cast_columns
 from ..plans.schemas import TABLES, partition_by, schema, sort_key
-from . import lines, records, whole
-from .classify import classify, web_log_type
-
-SMALL, GROUP = 8 << 20, 256 << 20
+from . import agents, lines, records, whole
+from .classify import PEEK, classify, web_log_type
+
+#: Files that are compacted, bytes of a group of them, and of a read while files are examined.
+SMALL, GROUP, CHUNK = 8 << 20, 256 << 20, 1 << 20
+#: What ends a line, as in Unicode's own rules.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_END_KEPT = "(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
+#: Seconds that files which a compaction has replaced are kept for readers that opened before.
+GRACE = 3600
 SKIP = (".zip", ".gz", ".7z", ".exe", ".dll", ".png", ".jpg", ".pdf", ".parquet")
 
 
@@ -46,9 +56,28 @@ def source_arg(text: str) -> tuple[str, str | None]:
     return (path, host) if colon and path and host and not set(host) & set("/\\") else (text, None)
 
 
+def _examine(path: Path, host: str) -> dict:
+    """What one pass over a file tells: kind, hash, and whether it is UTF-8 throughout."""
+    digest, reader, plain, first = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), True, b""
+    with path.open("rb") as f:
+        while chunk := f.read(CHUNK):
+            first = first or chunk[:PEEK]
+            digest.update(chunk)
+            if plain:
+                try:
+                    reader.decode(chunk)
+                except UnicodeDecodeError:
+                    plain = False
+    if plain:
+        plain = not reader.getstate()[0] and b"\0" not in first
+    # A log without years belongs to the calendar year, in UTC, in which it was last written.
+    year = datetime.datetime.fromtimestamp(path.stat().st_mtime, datetime.UTC).year
+    return {"source_path": str(path), "source_file": path.name, "host": host, "kind": classify(first, path), "file_sha256": digest.hexdigest(), "year": year, "plain": plain}
+
+
 def scan(sources: list[str]) -> list[dict]:
-    """Files below the sources with host, kind and hash; each file once for each host."""
-    out, seen = [], set()
+    """Files below the sources with host, kind and hash; each file once for each host. Files are read in parallel: hashing leaves Python's lock."""
+    todo, seen = [], set()
     for s in sources:
         root, host = source_arg(s)
         if not os.path.exists(root):
@@ -60,12 +89,9 @@ def scan(sources: list[str]) -> list[dict]:
             if p.suffix.lower() in SKIP or not st.st_size or (st.st_dev, st.st_ino, name) in seen:
                 continue
             seen.add((st.st_dev, st.st_ino, name))
-            with p.open("rb") as f:
-                kind = classify(f.read(16 * 1024))
-                f.seek(0)
-                digest = hashlib.file_digest(f, "sha256").hexdigest()
-            out.append({"source_path": str(p), "source_file": p.name, "host": name, "kind": kind, "file_sha256": digest, "year": 1970 + int(st.st_mtime // 31556952)})
-    return out
+            todo.append((p, name))
+    with ThreadPoolExecutor(min(32, 2 * (os.cpu_count() or 1))) as pool:
+        return list(pool.map(lambda x: _examine(*x), todo))
 
 
 #: Kind to table and parser; parsers of records take whole files, those of lines any split of them.
@@ -73,8 +99,10 @@ KINDS = {
     "web_access": ("web_logs", lines.clf), "web_error_nginx": ("web_error_logs", lines.nginx_error), "web_error_apache": ("web_error_logs", lines.apache_error), "web_error_tomcat": ("web_error_logs", records.tomcat),
     "auditd": ("auditd_logs", lines.auditd), "journal_export": ("journal_logs", lines.journal), "mysql_error": ("db_logs", lines.mysql_error), "postgresql": ("db_logs", lines.postgresql), "mssql": ("db_logs", lines.mssql),
     "mysql_general": ("db_logs", records.mysql_general), "mysql_slow": ("db_logs", records.mysql_slow), "oracle_alert": ("db_logs", records.oracle_alert), "iis": ("web_logs", records.iis), "syslog": ("syslog", None),
-    "iis_httperr": ("web_error_logs", records.iis_httperr),
+    "iis_httperr": ("web_error_logs", records.iis_httperr), **{k: ("qcloud_logs", agents.qcloud(k)) for k in agents.QCLOUD}, "aegis_core": ("aegis_logs", agents.aegis), "aegis_python": ("aegis_logs", agents.aegis),
 }
+#: Formats whose records need the order of lines.
+NUMBERED = {k for k, (_, parse) in KINDS.items() if getattr(parse, "__module__", "") in (records.__name__, agents.__name__)}
 #: Parsers of bytes of whole files.
 WHOLE = {"exchange_message_tracking": ("exchange_message_tracking", whole.exchange_tracking), "exchange_generic": ("exchange_logs", whole.exchange_generic), "scheduled_task": ("scheduled_tasks", whole.scheduled_task)}
 KINDS |= WHOLE
@@ -85,6 +113,19 @@ def _file() -> Column:
     return F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("file")
 
 
+def _packed(files: list[str]) -> list[list[str]]:
+    """Files in order, in groups of at most GROUP bytes."""
+    out, size = [[]], 0
+    for f in files:
+        n = os.path.getsize(f)
+        if out[-1] and size + n > GROUP:
+            out.append([])
+            size = 0
+        out[-1].append(f)
+        size += n
+    return out
+
+
 class Case:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -144,6 +185,8 @@ class Case:
         """Canonical rows as Parquet files of a new workspace; nothing sees them before commit()."""
         batch = batch or uuid.uuid4().hex
         work = f"{self.root}/lake/{table}/batch={batch}"
+        os.makedirs(f"{self.root}/writing", exist_ok=True)
+        Path(f"{self.root}/writing/{batch}").touch()
         by = partition_by(table)
         rows = cast_columns(df, table, batch)
         # Partition columns stay in the files too, so that a reader needs no path parsing and null or empty values survive.
@@ -155,9 +198,12 @@ class Case:
             m = self.manifest()
             for t, files in new.items():
                 m["catalog"][t] = [f for f in m["catalog"].get(t, []) if f not in set(retired)] + files
+            m.setdefault("retired", {}).update(dict.fromkeys(retired, time.time()))
             m["ledger"] += [list(x) for x in ledger]
             m["runs"].append(sorted(new))
             self._replace(m)
+        for batch in {x.removeprefix("batch=") for files in new.values() for f in files for x in f.split("/") if x.startswith("batch=")}:
+            Path(f"{self.root}/writing/{batch}").unlink(missing_ok=True)
 
     @staticmethod
     def rows_of(files: list[str]) -> int:
@@ -180,8 +226,7 @@ class Case:
             if kind in WHOLE:
                 text = self.spark.read.format("binaryFile").load(paths).select(_file(), "content")
             else:
-                raw = self.spark.read.text(paths, wholetext=True).select(_file(), "value")
-                text = raw.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
+                text = self._lines([f["source_path"] for f in mine if f["plain"]], [f["source_path"] for f in mine if not f["plain"]], kind in NUMBERED, LINE_END_KEPT if table == "aegis_logs" else LINE_END)
             if kind == "syslog":
                 text = text.join(F.broadcast(info.select("file", "year")), "file")
                 modern = F.col("line").rlike(lines.RFC5424.pattern)
@@ -203,16 +248,33 @@ class Case:
         self.commit(new, [[f["source_path"], f["host"], f["kind"], f["file_sha256"]] for f in todo])
         return report
 
+    def _lines(self, plain: list[str], other: list[str], numbered: bool, end: str = LINE_END) -> DataFrame:
+        """file, line_no and line of files. UTF-8 files of formats with a record a line are read in splits, without numbers; others as whole texts, decoded where they are not UTF-8."""
+        if plain and not numbered:
+            lines_ = self.spark.read.text(plain).select(_file(), F.lit(0).alias("line_no"), F.col("value").alias("line"))
+            text = lines_.select("file", "line_no", F.explode(F.split("line", end)).alias("line"))
+        elif plain:
+            whole_ = self.spark.read.text(plain, wholetext=True).select(_file(), "value")
+            text = whole_.select("file", F.posexplode(F.split("value", end)).alias("line_no", "line"))
+        else:
+            text = None
+        if other:
+            raw = self.spark.read.format("binaryFile").load(other).select(_file(), "content").mapInArrow(whole.decoded, "file string, value string")
+            more = raw.select("file", F.posexplode(F.split("value", end)).alias("line_no", "line"))
+            text = more if text is None else text.unionByName(more)
+        # A mark of the byte order is no part of the first line.
+        return text.withColumn("line", F.regexp_replace("line", "^\ufeff", ""))
+
     def compact(self, least: int = 2) -> dict:
-        """Small files of a partition become one; counts are compared before the manifest changes. Old files stay until cleanup()."""
+        """Small files of a partition become one for each group of at most GROUP bytes; counts are compared before the manifest changes. Old files stay until cleanup()."""
         before, after = 0, 0
         for t, files in self.manifest()["catalog"].items():
             groups: dict[str, list[str]] = {}
             for f in files:
                 if os.path.getsize(f) < SMALL:
                     groups.setdefault(os.path.relpath(os.path.dirname(f), f"{self.root}/lake/{t}").split("/", 1)[-1], []).append(f)
-            for group in groups.values():
-                if len(group) < least or sum(map(os.path.getsize, group)) > GROUP:
+            for group in (g for files in groups.values() for g in _packed(files)):
+                if len(group) < least:
                     continue
                 work = f"{self.root}/lake/{t}/batch={uuid.uuid4().hex}"
                 rows = self.spark.read.schema(schema(t)).option("basePath", f"{self.root}/lake/{t}").parquet(*group).select(*schema(t).names)
@@ -226,14 +288,35 @@ class Case:
                 before, after = before + len(group), after + len(made)
         return {"input_files": before, "output_files": after}
 
-    def cleanup(self) -> list[str]:
-        """Removes files that the manifest does not name."""
+    def cleanup(self, grace: float = GRACE) -> list[str]:
+        """Removes files that nothing needs: not named by the manifest, not leased, not of a batch that is being written, and not retired within the last `grace` seconds."""
         with self._locked():
-            live = {f for files in self.manifest()["catalog"].values() for f in files}
-            gone = [str(p) for p in Path(f"{self.root}/lake").rglob("*.parquet") if str(p) not in live]
+            m = self.manifest()
+            needed = {f for files in m["catalog"].values() for f in files}
+            needed |= {f for f, at in m.get("retired", {}).items() if time.time() - at < grace}
+            for lease in Path(f"{self.root}/leases").glob("*.json"):
+                needed |= set(json.loads(lease.read_text(encoding="utf-8")))
+            writing = {p.name for p in Path(f"{self.root}/writing").glob("*")}
+            files = [p for p in Path(f"{self.root}/lake").rglob("*.parquet") if p.is_file()]
+            gone = [str(p) for p in files if str(p) not in needed and not writing & {x.removeprefix("batch=") for x in p.parts}]
             for p in gone:
                 os.remove(p)
+            m["retired"] = {f: at for f, at in m.get("retired", {}).items() if f not in set(gone)}
+            self._replace(m)
         return gone
 
+    @contextmanager
+    def snapshot(self):
+        """The tables as of now; while inside, no cleanup removes their files."""
+        os.makedirs(f"{self.root}/leases", exist_ok=True)
+        lease = f"{self.root}/leases/{uuid.uuid4().hex}.json"
+        with self._locked():
+            files = [f for files in self.manifest()["catalog"].values() for f in files]
+            Path(lease).write_text(json.dumps(files), encoding="utf-8")
+        try:
+            yield self.tables()
+        finally:
+            os.remove(lease)
+
     def counts(self) -> dict[str, int]:
         return {t: self.rows_of(files) for t, files in self.manifest()["catalog"].items() if t in TABLES}

@@ -44,6 +44,12 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield file.as_py(), content.as_py()
 
 
+def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file and text of files that are not UTF-8, one a batch."""
+    for file, content in _files(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([decode(content).lstrip("\ufeff")])], names=["file", "value"])
+
+
 def _records(text: str) -> Iterator[tuple[str | None, dict | None]]:
     """(log type, record) of each CSV record; None for one that is malformed, has another width than the last `#Fields:`, or comes before any."""
     names, log_type = None, None

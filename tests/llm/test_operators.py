@@ -359,6 +359,25 @@ def test_top_k(spark):
     assert topk.top_k(d.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_segments_prune(spark):
+    """Bounds drop no pair that reaches the threshold; where few directions hold the energy, as in learned embeddings, they drop nearly all others."""
+    r = np.random.default_rng(5)
+    for spread, left in ((np.ones(64), 0.6), (0.8 ** np.arange(64), 0.1)):
+        v = np.floor(256 * (r.normal(size=(3000, 64)) * spread) @ np.linalg.qr(r.normal(size=(64, 64)))[0])
+        turn = topk.basis(v[:500])
+        scores = v[:50] @ v[50:].T
+        least = np.sort(scores, 1)[:, -5]
+        q, c = np.nonzero(np.ones_like(scores))
+        told = [topk._summary(v[:50] @ turn, x) for x in topk.LENGTHS]
+        levels = topk.survivors(q, c, told, v[50:] @ turn, least)
+        kept = set(zip(*map(np.ndarray.tolist, levels[-1]), strict=True))
+        assert all((a, b) in kept for a, b in zip(*map(np.ndarray.tolist, np.nonzero(scores >= least[:, None])), strict=True))
+        print("left at each level:", [round(len(x) / scores.size, 3) for x, _ in levels])
+        assert len(kept) <= left * scores.size
+    big = np.array([[2.0**30, 1.0]])
+    assert topk._exact(np.array([0]), np.array([0]), big, big)[0] == 2**60 + 1
+
+
 def test_language(spark, none):
     r = random.Random(5)
     words = {"aa": ["ka", "lo", "mi"], "bb": ["ștr", "önd", "çik"]}

@@ -15,7 +15,32 @@ def held_out(column: str, modulus: int, rest: int) -> Column:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), places AS (
+  SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM words
+), sets AS (
+  SELECT DISTINCT doc_id, hash(w[i:i + 4]) AS s FROM places
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= 75 * (p.n + q.n - common)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(a, b) AS (
+  SELECT DISTINCT doc_id, doc_id FROM words UNION SELECT a, y FROM reach JOIN edges ON b = x
+), least AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM least LEFT JOIN sizes USING (doc_id)
+"""
 
 
 def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +61,18 @@ def op5_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH parts AS (
-  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), parts AS (
+  SELECT rid, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM rows
 ), whole AS (
-  SELECT vec_id, i, floor(256 * x)::BIGINT AS v FROM parts
-  WHERE vec_id NOT IN (SELECT vec_id FROM parts WHERE x IS NULL OR isnan(x) OR isinf(x))
-), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.v * c.v)::BIGINT AS score
+  SELECT rid, vec_id, i, floor(256 * x)::BIGINT AS v FROM parts
+  WHERE rid NOT IN (SELECT rid FROM parts WHERE x IS NULL OR isnan(x) OR isinf(x))
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, q.rid, c.rid, sum(q.v * c.v)::BIGINT AS score
   FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), scored AS (
+  SELECT query_id, vec_id, max(score) AS score FROM pairs GROUP BY ALL
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
 )
@@ -93,4 +122,4 @@ QUERIES = {
     "op9_compact_windows": op9_compact_windows,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op5_segment_top_k": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_segment_top_k": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}

@@ -110,6 +110,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+OP10_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents
+), starts AS (
+  SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM docs WHERE length(h) >= 400
+), grams AS (
+  SELECT rid, i, hash(substr(h, 2 * i + 1, 400)) AS g FROM starts
+), twice AS (
+  SELECT rid, i FROM grams JOIN (SELECT g FROM grams GROUP BY g HAVING count(*) > 1) USING (g)
+), runs AS (
+  SELECT rid, i, sum(CASE WHEN i <= last + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000) AS last FROM twice)
+), spans AS (
+  SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY ALL
+), pieces AS (
+  SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS low, a AS high FROM spans
+  UNION ALL SELECT rid, coalesce(max(b), 0), NULL FROM docs LEFT JOIN spans USING (rid) GROUP BY rid
+), kept AS (
+  SELECT rid, string_agg(CASE WHEN high IS NULL THEN substr(h, 2 * low + 1) ELSE substr(h, 2 * low + 1, 2 * (high - low)) END, '' ORDER BY low) AS k FROM pieces JOIN docs USING (rid) GROUP BY rid
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, ((length(h) - length(k)) // 2)::BIGINT AS n_removed, (SELECT count(*) FROM spans s WHERE s.rid = docs.rid)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM docs JOIN kept USING (rid)
+"""
+
 QUERIES = {
     "op1_toxicity_grammar": op1_toxicity_grammar,
     "op2_license_scan": op2_license_scan,
@@ -122,4 +145,4 @@ QUERIES = {
     "op9_compact_windows": op9_compact_windows,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op5_segment_top_k": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op5_segment_top_k": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op10_suffix_dedup": OP10_SQL}

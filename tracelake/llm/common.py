@@ -50,6 +50,8 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        # What was shuffled for this table is not needed any more. Spark removes such files when the driver's collector finds that nothing refers to them.
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .textkit import LOWER, flat, shingle_hashes, slices, word_hashes, word_span
 WIDTH, SHARE = 5, 75
 #: Benchmark text that one broadcast may hold; a larger benchmark is taken in blocks of items.
 BLOCK_BYTES = 16 << 20
+#: Matches of windows that are looked at together (one text's at least).
+MATCHES = 1 << 20
 
 #: Fixed list of units, as they stand after a number.
 UNITS = "mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres kilometer kilometers mg g kg t ton tons lb lbs oz pound pounds gram grams kilogram kilograms ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees degree kmh mph".split()
@@ -122,63 +125,99 @@ def _consistent(course: list[tuple[int, int]], words: np.ndarray, slots: np.ndar
     return len(pairs), odd * 10 <= len(pairs)
 
 
+def _found(index: list, info: list, column: pa.Array) -> Iterator[tuple[int, int, float, int]]:
+    """(place of the text, item_id, share of the item's windows, slots compared) of each text and item that it holds, at most once for each reading."""
+    plain, _, _, first, readings = template(column)
+    count = np.diff(first)
+    made = np.where(count >= WIDTH, count - WIDTH + 1, (count > 0).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(made)])
+    for reading, ((windows, item, place), own) in enumerate(zip(index, readings, strict=True)):
+        if not len(own) or not len(windows):
+            continue
+        low, high = np.searchsorted(windows, own, "left"), np.searchsorted(windows, own, "right")
+        hit = np.flatnonzero(high > low)
+        # Some texts at a time, so that windows which many items share take bounded memory.
+        total = np.cumsum(high[hit] - low[hit])
+        cuts = np.searchsorted(at, hit, "right") - 1
+        begin = 0
+        while begin < len(hit):
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + MATCHES, "right"))
+            end = int(np.searchsorted(cuts, cuts[max(begin, end - 1)], "right"))  # whole texts
+            some = hit[begin:end]
+            times = high[some] - low[some]
+            entry = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[some], times)
+            owner, where = np.repeat(cuts[begin:end], times), np.repeat(some - at[cuts[begin:end]], times)
+            order = np.lexsort((where, item[entry], owner))
+            owner, where, entry = owner[order], where[order], entry[order]
+            edge = np.flatnonzero((owner[1:] != owner[:-1]) | (item[entry[1:]] != item[entry[:-1]])) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(owner)], strict=True):
+                o, (name, n, words, slots, loose) = int(owner[a]), info[item[entry[a]]]
+                need = math.ceil(SHARE * n / 100)
+                if b - a < need:
+                    continue
+                course = _course(list(zip(where[a:b].tolist(), place[entry[a:b]].tolist(), strict=True)), need, n)
+                if course:
+                    seen, fits = _consistent(course, words, slots, loose if reading == 1 else slots, plain[first[o] : first[o + 1]])
+                    if fits:
+                        yield o, name, len(course) / n, seen
+            begin = end
+
+
 def _match(held):
-    names = ["doc_id", "item_id", "share", "n_slots"]
+    names, types = ["doc_id", "item_id", "share", "n_slots"], (pa.int64(), pa.int64(), pa.float64(), pa.int64())
 
     def run(batches):
         index, info = _index(held())
         for batch in batches:
             for part in slices(batch):
-                plain, _, _, first, readings = template(part.column("text"))
-                count = np.diff(first)
-                made = np.where(count >= WIDTH, count - WIDTH + 1, (count > 0).astype(np.int64))
-                at = np.concatenate([[0], np.cumsum(made)])
-                ids, rows = part.column("doc_id"), []
-                for reading, ((windows, item, place), own) in enumerate(zip(index, readings, strict=True)):
-                    if not len(own) or not len(windows):
-                        continue
-                    low, high = np.searchsorted(windows, own, "left"), np.searchsorted(windows, own, "right")
-                    hits: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-                    hit = np.flatnonzero(high > low)
-                    owner = np.searchsorted(at, hit, "right") - 1
-                    for p, o, a, b in zip(hit.tolist(), owner.tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                        for k in range(a, b):
-                            hits[o][int(item[k])].append((p - int(at[o]), int(place[k])))
-                    for o, items in hits.items():
-                        doc = plain[first[o] : first[o + 1]]
-                        for k, found in items.items():
-                            name, n, words, slots, loose = info[k]
-                            need = math.ceil(SHARE * n / 100)
-                            if len(found) >= need and (course := _course(found, need, n)):
-                                seen, fits = _consistent(course, words, slots, loose if reading == 1 else slots, doc)
-                                if fits:
-                                    rows.append((ids[o].as_py(), name, len(course) / n, seen))
+                ids = part.column("doc_id")
+                rows = [(ids[o].as_py(), *rest) for o, *rest in _found(index, info, part.column("text"))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, share (of the item's windows found along one course), n_slots (placeholders compared).
+def _without(held):
+    def run(batches):
+        index, info = _index(held())
+        for batch in batches:
+            for part in slices(batch):
+                keep = np.ones(part.num_rows, bool)
+                keep[[o for o, *_ in _found(index, info, part.column("text"))]] = False
+                yield part.filter(pa.array(keep))
 
-    Null, empty or wordless texts and items match nothing; an item of fewer than WIDTH words is one window and is found only in documents of the same few words. Repeated
-    documents and items are taken one by one and give equal rows once. Items without item_id are left out, as are documents without doc_id. Empty tables
-    give an empty table. Other columns are not read; texts are read whole.
-    """
-    spark = docs.sparkSession
+    return run
+
+
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """The items in blocks of about BLOCK_BYTES of text, bounded by the parameter whatever the benchmark's size; each as a broadcast value."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, out = max(1, math.ceil(size / BLOCK_BYTES)), None
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(blocks):
-        # About BLOCK_BYTES of text: bounded by the parameter, whatever the benchmark's size.
         some = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]
-        held = spark.sparkContext.broadcast(sorted(some))
+        yield spark.sparkContext.broadcast(sorted(some))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and item that it holds: doc_id, item_id, share (of the item's windows found along one course), n_slots (placeholders compared).
+
+    Null, empty or wordless texts and items match nothing; an item of fewer than WIDTH words is one window and is found only in documents of the same few words. Repeated
+    documents and items are taken one by one and give equal rows once; of several matches of a document and an item the largest share and number of slots are given, so ties
+    make no difference. Items without item_id are left out, as are documents without doc_id. Empty tables give an empty table. Other columns are not read; texts are
+    read whole.
+    """
+    out = None
+    for held in _blocks(benchmark):
         found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_match(lambda held=held: held.value), "doc_id long, item_id long, share double, n_slots long")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_slots").alias("n_slots"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item. Rows without doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that hold a benchmark item; all columns stay as they are. Each row is judged by its own text, so rows without doc_id are, too. No shuffle."""
+    for held in _blocks(benchmark):
+        docs = docs.mapInArrow(_without(lambda held=held: held.value), docs.schema)
+    return docs

@@ -19,6 +19,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 from .shared import shared_tokens
@@ -137,9 +138,19 @@ def _open_pairs(scratch: Scratch, entries: DataFrame, labels: DataFrame, tested:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows without doc_id stay; of rows that share a doc_id one stays."""
+    """docs with one row of each component: that of its smallest doc_id. Rows without doc_id stay; of rows that share a doc_id that with the smallest text (then by hash of all
+    columns) stays, whatever the layout of the files."""
+    scratch = Scratch(docs.sparkSession)
     found = near_duplicates(docs)
-    lost = Scratch(docs.sparkSession).save(found.where("component_id <> doc_id").select("doc_id"))
+    lost = scratch.save(found.where("component_id <> doc_id").select("doc_id"))
     kept = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
-    nameless = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless)
+    repeated = scratch.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    plain = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*plain)))
+    name = "_place"
+    while name in docs.columns:
+        name += "_"
+    several = kept.join(repeated, "doc_id", "left_semi").withColumn(name, place).where(F.col(name) == 1).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(several)

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-#: Rows of a logical partition, and partitions at most: beyond 650 million rows the partitions grow instead, so the matrix on the driver stays bounded.
-ROWS_EACH, MOST = 20_000, 1 << 15
+#: Rows of a logical partition, and partitions at most: beyond 268 million rows the partitions grow instead, so the matrix on the driver stays bounded.
+ROWS_EACH, MOST = 8192, 1 << 15
 
 
 def _ordered(df: DataFrame) -> list:

@@ -24,7 +24,8 @@ from .textkit import TOKEN_BITS, TOKEN_MASK, mix, slices
 PLACES = (1 << 14) - 1
 SHIFT = np.uint64(14)
 HOT = 48
-BATCH_TOKENS = 3_000_000
+#: Tokens of one exchange, and bytes of input files for each range: together they bound a task's memory.
+BATCH_TOKENS, RANGE_BYTES = 1_500_000, 4 << 20
 RANGE_BITS = 16
 
 PARTS = "part int, uid long, kind int, a binary, b binary, c binary, d binary"
@@ -192,7 +193,7 @@ def shared_tokens(docs: DataFrame, tokenize: Callable, distinct: bool, keep_shar
     different sets of a batch once; else every occurrence counts.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    ranges = partitions(docs)
+    ranges = partitions(docs, RANGE_BYTES)
     sent = docs.mapInArrow(_send(tokenize, distinct, ranges), PARTS)
     counted = sent.repartition(ranges, "part").mapInArrow(_count, PARTS)
     return counted.repartition(ranges, "uid").mapInArrow(_gather(keep_share), ROWS)

@@ -58,6 +58,8 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES, r
         end = min(max(begin + 1, int(np.searchsorted(size, floor + most, "right"))), begin + rows, batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
+    # Arrow keeps freed memory for itself; between batches a worker gives it back.
+    pa.default_memory_pool().release_unused()
 
 
 _pow = np.ones(1, np.uint64)

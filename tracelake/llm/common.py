@@ -34,6 +34,10 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tracelake-")
 
 
+#: With it Spark removes what was shuffled for a write as soon as the write has ended. Nothing reads it again: the table is there.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors. Those that are not dropped before go when the driver ends."""
 
@@ -47,11 +51,14 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(FREE, "false")
+        conf.set(FREE, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(FREE, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
-        # What was shuffled for this table is not needed any more. Spark removes such files when the driver's collector finds that nothing refers to them.
-        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:

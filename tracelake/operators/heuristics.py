@@ -44,28 +44,28 @@ def auth_events(syslog: DataFrame) -> DataFrame:
     ssh, pam, account = F.contains(app, F.lit("sshd")), F.contains(msg, F.lit("pam_unix(")), app.isin(*ACCOUNT_TAGS)
     df = syslog.where(ssh | pam | app.isin("sudo") | account)
     # In order of precedence: event type, when it is tried, shape.
-    shapes = (("ssh_accepted", ssh & msg.startswith("Accepted "), ACCEPTED), ("ssh_failed", ssh & msg.startswith("Failed "), FAILED), ("ssh_invalid_user", ssh & msg.startswith("Invalid "), INVALID), ("ssh_disconnected", ssh, DISCONNECT), ("sudo_command", app == "sudo", SUDO), ("session_", pam, SESSION))
-    read, done = df, F.lit(False)
-    for name, tried, shape in shapes:
-        read = read.withColumn(f"_{name}", F.when(tried & ~done, shape.read(msg)))
-        done = done | shape.matched(F.col(f"_{name}"))
-    got = lambda field: F.coalesce(*(shape.of(F.col(f"_{name}"), field) for name, _, shape in shapes if field in shape.names))
+    ended = msg.startswith("Received ") | msg.startswith("Disconnected ") | msg.startswith("Connection ")
+    shapes = (("ssh_accepted", ssh & msg.startswith("Accepted "), ACCEPTED), ("ssh_failed", ssh & msg.startswith("Failed "), FAILED), ("ssh_invalid_user", ssh & msg.startswith("Invalid "), INVALID), ("ssh_disconnected", ssh & ended, DISCONNECT), ("sudo_command", app == "sudo", SUDO), ("session_", pam, SESSION))
+    # All shapes are tried in one projection, each behind its cheap test.
+    read = df.select("*", *(F.when(tried, shape.read(msg)).alias(f"_{name}") for name, tried, shape in shapes))
     kind = None
     for name, _, shape in shapes:
         fits = shape.matched(F.col(f"_{name}"))
-        value = F.concat(F.lit(name), shape.of(F.col(f"_{name}"), "what")) if shape is SESSION else F.lit(name)
-        kind = F.when(fits, value) if kind is None else kind.when(fits, value)
-    managed = ~done & account
+        kind = F.when(fits, F.lit(name)) if kind is None else kind.when(fits, F.lit(name))
+    read = read.withColumn("_kind", kind)
+    of = lambda field: F.coalesce(*(F.when(F.col("_kind") == name, shape.of(F.col(f"_{name}"), field)) for name, _, shape in shapes if field in shape.names))
+    event = F.when(F.col("_kind") == "session_", F.concat(F.col("_kind"), of("what"))).when(F.col("_kind").isNotNull(), F.col("_kind")).when(account, F.lit("account_management"))
+    managed = F.col("_kind").isNull() & account
     named = F.coalesce(_group(msg, r"name=([^,\s]+)", 1), _group(msg, "'([^']+)'", 1))
-    return read.withColumn("event_type", kind.when(account, F.lit("account_management"))).where("event_type is not null").select(
+    return read.withColumn("event_type", event).where("event_type is not null").select(
         "time_created",
         "host",
         "event_type",
-        F.when(managed, named).otherwise(got("user")).alias("user"),
-        got("ip").alias("source_ip"),
-        got("port").alias("source_port"),
-        got("method").alias("auth_method"),
-        F.when(managed, msg).otherwise(F.trim(got("command"))).alias("command"),
+        F.when(managed, named).otherwise(of("user")).alias("user"),
+        of("ip").alias("source_ip"),
+        of("port").alias("source_port"),
+        of("method").alias("auth_method"),
+        F.when(managed, msg).otherwise(F.trim(of("command"))).alias("command"),
         "message",
         "app_name",
     )

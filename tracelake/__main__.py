@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from . import __version__, jobs
 from .operators import sigma, views
-from .operators.search import discover_fields, json_object_columns, search
+from .operators.search import discover_fields, json_object_columns
 from .plans.schemas import TABLES
 from .session import build
 from .sources.lake import Case, CaseAlreadyExistsError, CaseNotFoundError, NoSourcesFoundError
@@ -59,10 +60,20 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--output")
         return c
 
-    for name in ("init", "info", "compact", "cleanup", "counts"):
+    for name in ("init", "info", "compact", "cleanup", "counts", "hosts", "channels", "sources", "jobs"):
         add(name, "case")
-    sub.add_parser("list")
-    add("ingest", "case").add_argument("sources", nargs="+", help="PATH or PATH:HOST")
+    for name in ("list", "version"):
+        sub.add_parser(name)
+    g = add("ingest", "case")
+    g.add_argument("sources", nargs="+", help="PATH or PATH:HOST")
+    g.add_argument("--keep-raw", action="store_true", help="keep event records as XML too")
+    g.add_argument("--codec", help="codec of strings in event logs that are not Unicode")
+    g.add_argument("--background", action="store_true", help="print a job's id and return at once")
+    add("job-run", "case", "job").add_argument("sources", nargs="+")
+    for name in ("job-status", "job-cancel"):
+        add(name, "case", "job")
+    for name in ("tasks", "auth", "registry"):
+        add(name, "case", rows=True)
     add("query", "case", "sql", rows=True)
     add("table", "case", "name", rows=True)
     add("summary", "case", rows=True)
@@ -73,11 +84,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--match", choices=("all", "any"), default="all")
     s.add_argument("--case-sensitive", action="store_true")
     t = add("timeline", "case", rows=True)
-    for option in ("--start", "--end", "--host"):
+    for option in ("--start", "--end", "--host", "--channel"):
         t.add_argument(option)
+    t.add_argument("--event-id", type=int)
     h = add("hunt", "case", "rules", rows=True)
     h.add_argument("--min-level")
     h.add_argument("--save", help="folder for the matches")
+    h.add_argument("--csv", help="file for the matches")
     add("validate", "rules")
     return p
 
@@ -87,6 +100,18 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
     if args.command == "list":
         print("\n".join(sorted(p.parent.name for p in root.glob("*/case.json"))))
         return 0
+    if args.command == "version":
+        print(__version__)
+        return 0
+    if args.command in ("jobs", "job-status", "job-cancel"):
+        where = (args.case_root, args.case)
+        found = jobs.jobs(*where) if args.command == "jobs" else [(jobs.status if args.command == "job-status" else jobs.cancel)(*where, args.job)]
+        for s in found:
+            print(json.dumps(s))
+        return 0
+    if args.command == "ingest" and args.background:
+        print(jobs.start(args.case_root, args.case, args.sources))
+        return 0
     if args.command == "validate":
         rules, failures = sigma.load_rules(args.rules)
         print(f"{len(rules)} rules, {len(failures)} failed")
@@ -111,10 +136,19 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
     elif args.command == "cleanup":
         print("\n".join(case.cleanup()))
     elif args.command == "ingest":
-        report = case.ingest(args.sources)
+        report = case.ingest(args.sources, args.keep_raw, args.codec)
         for r in report:
             print(f"{r['status']}\t{r['kind']}\t{r['rows']}\t{r['errors']}\t{r['source_path']}")
         return int(any(r["status"] == "failed" for r in report))
+    elif args.command == "job-run":
+        return jobs.run(args.case_root, args.case, args.job, lambda progress: case.ingest(args.sources, progress=progress))
+    elif args.command in ("hosts", "channels"):
+        print("\n".join(getattr(case, args.command)()))
+    elif args.command == "sources":
+        for one in case.sources():
+            print("\t".join(one.values()))
+    elif args.command in ("tasks", "auth", "registry"):
+        show({"tasks": case.suspicious_tasks, "auth": case.auth_events, "registry": case.suspicious_registry}[args.command](), args)
     elif args.command == "query":
         show(case.query(args.sql), args)
     elif args.command == "table":
@@ -122,23 +156,21 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
     elif args.command == "summary":
         show(views.summary(case.table("events")), args)
     elif args.command == "timeline":
-        show(views.timeline(case.table("events"), start=args.start, end=args.end, host=args.host), args)
+        show(views.timeline(case.table("events"), start=args.start, end=args.end, host=args.host, channel=args.channel, event_id=args.event_id), args)
     elif args.command == "fields":
         df = case.table(args.name)
         show(discover_fields(df, json_object_columns(df, args.name)), args)
     elif args.command == "search":
-        show(search(case.table(args.name), eq=pairs(args.eq), contains=pairs(args.contains), regex=pairs(args.regex, split=False), match=args.match, case_sensitive=args.case_sensitive, table=args.name), args)
+        show(case.search(args.name, eq=pairs(args.eq), contains=pairs(args.contains), regex=pairs(args.regex, split=False), match=args.match, case_sensitive=args.case_sensitive), args)
     else:
-        rules, failures = sigma.load_rules(args.rules)
-        tables = case.tables()
-        if not tables:
-            raise RuntimeError("no ingested data")
-        result = sigma.hunt(tables, rules, args.min_level)
+        result = case.hunt(args.rules, args.min_level)
         show(result.summary, args)
-        for name, why in (failures | result.failures).items():
+        for name, why in result.failures.items():
             print(f"{name}: {why}", file=sys.stderr)
         if args.save:
             result.save(args.save)
+        if args.csv:
+            result.to_csv(args.csv)
     return 0
 
 

@@ -7,16 +7,23 @@ import ipaddress
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from operator import and_, or_
 from pathlib import Path
 
+import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import json_member
+from ..plans.known import TECHNIQUES
+from ..plans.schemas import TABLES
+from ..sources.classify import decode
+from . import views
 
 SYSMON, POWERSHELL = "Microsoft-Windows-Sysmon/Operational", "Microsoft-Windows-PowerShell/Operational"
 #: Category to channel and event ids.
@@ -30,6 +37,7 @@ EVENT_DATA = set("Image OriginalFileName CommandLine CurrentDirectory ParentImag
 #: Rule fields that are columns under another name.
 COLUMNS = {"EventID": "event_id", "channel": "channel", "Channel": "channel", "Computer": "computer", "c-ip": "client_ip", "cs-method": "method", "cs-uri-stem": "uri_stem", "cs-uri-query": "uri_query", "sc-status": "status", "cs-username": "username", "cs-useragent": "user_agent", "cs-referrer": "referer"}
 LEVELS = {"informational": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
+SUMMARY = T.StructType([T.StructField(n, T.LongType() if n == "matches" else T.StringType()) for n in "rule_id title level author matches attack_tags references".split()])
 TOKEN = re.compile(r"\(|\)|[^\s()]+")
 DASHES = "-/–—―"
 
@@ -58,29 +66,42 @@ class Rule:
         return [t.split(".", 1)[1].upper() for t in self.tags if re.fullmatch(r"attack\.t\d{4}(\.\d{3})?", t.lower())]
 
 
+def _rule(d) -> Rule:
+    if not isinstance(d, dict) or "detection" not in d:
+        raise RuleError("not a detection rule")
+    category = (d.get("logsource") or {}).get("category")
+    if category != "webserver" and category not in ROUTES:
+        raise RuleError(f"category {category!r} has no table")
+    texts = {k: tuple(map(str, d.get(k) or ())) for k in ("tags", "references")}
+    return Rule(str(d.get("id") or d.get("title")), str(d.get("title", "")), str(d.get("level", "")), category, d["detection"], texts["tags"], str(d.get("author") or ""), texts["references"])
+
+
 def parse_rules(text: str) -> list[Rule]:
-    out = []
-    for d in yaml.safe_load_all(text):
-        if not isinstance(d, dict) or "detection" not in d:
-            raise RuleError("not a detection rule")
-        category = (d.get("logsource") or {}).get("category")
-        if category != "webserver" and category not in ROUTES:
-            raise RuleError(f"category {category!r} has no table")
-        out.append(Rule(str(d.get("id") or d.get("title")), str(d.get("title", "")), str(d.get("level", "")), category, d["detection"], tuple(map(str, d.get("tags") or ())), str(d.get("author") or ""), tuple(map(str, d.get("references") or ()))))
-    return out
+    return [_rule(d) for d in yaml.safe_load_all(text)]
 
 
 def load_rules(root: str) -> tuple[list[Rule], dict[str, str]]:
-    """Rules of all YAML files below root in order of path, and the files skipped with the reason."""
+    """Rules of all YAML files below root in order of path, and what was skipped with the reason: a document of a file, or a whole file that is no YAML."""
     rules, skipped = [], {}
     for p in sorted(x for x in Path(root).rglob("*") if x.suffix in (".yml", ".yaml")):
         try:
-            rules += parse_rules(p.read_text(encoding="utf-8-sig", errors="replace"))
-        except (RuleError, yaml.YAMLError, KeyError, TypeError) as e:
+            documents = list(yaml.safe_load_all(decode(p.read_bytes()).lstrip("\ufeff")))
+        except yaml.YAMLError as e:
             skipped[str(p)] = str(e)
+            continue
+        for k, d in enumerate(documents):
+            try:
+                rules.append(_rule(d))
+            except (RuleError, KeyError, TypeError, AttributeError) as e:
+                skipped[str(p) if len(documents) == 1 else f"{p}#{k}"] = str(e)
     return rules, skipped
 
 
+def technique(attack_id: str) -> tuple[str, str] | None:
+    """Name and tactic of a technique by its number, in any case; None if it is not among those known."""
+    return TECHNIQUES.get(attack_id.upper())
+
+
 def _like(value: str) -> tuple[str, bool]:
     """The value as a LIKE pattern, and whether it has wildcards; a backslash before * ? or itself makes them plain."""
     out, wild, k = "", False, 0
@@ -244,20 +265,87 @@ def match(df: DataFrame, named: list[tuple[Rule, Column]]) -> DataFrame:
 
 @dataclass
 class HuntResults:
+    """Matches by table, complete and unread until asked for; summary: a row for each rule that ran."""
+
     matches: dict[str, DataFrame]
     summary: DataFrame
     failures: dict[str, str]
 
+    @cached_property
+    def rules(self) -> list[dict]:
+        return [r.asDict() for r in self.summary.collect()]
+
+    @property
+    def total_matches(self) -> int:
+        return sum(r["matches"] for r in self.rules)
+
+    def all_matches(self) -> DataFrame | None:
+        """Matches of all tables; columns that a table lacks are null."""
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.matches.values()) if self.matches else None
+
+    def preview(self, rows: int = 100) -> pd.DataFrame:
+        """At most that many matches; attrs tell how many there are and whether these are all."""
+        if rows < 0:
+            raise ValueError("rows must not be negative")
+        every = self.all_matches()
+        out = pd.DataFrame() if every is None else every.limit(rows).toPandas()
+        out.attrs.update(total_matches=self.total_matches, preview_rows=len(out), complete=len(out) == self.total_matches)
+        return out
+
+    def iter_chunks(self, size: int = 100_000) -> Iterator[pd.DataFrame]:
+        """All matches in parts of at most that many rows."""
+        if size <= 0:
+            raise ValueError("size must be positive")
+        every = self.all_matches()
+        return iter(()) if every is None else views.chunks(every, size)
+
+    def to_csv(self, path: str) -> int:
+        """All matches as CSV; the file is replaced only when it is whole. Returns the number of rows."""
+        every, new = self.all_matches(), f"{path}.new"
+        try:
+            n = 0
+            if every is None:
+                Path(new).touch()
+            else:
+                n = views.to_csv(every, new)
+            os.replace(new, path)
+        finally:
+            Path(new).unlink(missing_ok=True)
+        return n
+
     def save(self, path: str) -> None:
         """Matches of each table as Parquet beside results.json, which is replaced last."""
         os.makedirs(path, exist_ok=True)
         for t, df in self.matches.items():
             df.write.mode("overwrite").parquet(f"{path}/{t}")
-        rows = [r.asDict() for r in self.summary.collect()]
         with open(f"{path}/results.json.new", "w", encoding="utf-8") as f:
-            json.dump({"version": 1, "tables": sorted(self.matches), "rules": rows, "failures": self.failures}, f)
+            json.dump({"version": 1, "tables": sorted(self.matches), "rules": self.rules, "total_matches": self.total_matches, "failures": self.failures}, f)
         os.replace(f"{path}/results.json.new", f"{path}/results.json")
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> HuntResults:
+        """Saved results; raises if the files do not hold the matches that were counted."""
+        with open(f"{path}/results.json", encoding="utf-8") as f:
+            saved = json.load(f)
+        if saved.get("version") != 1:
+            raise ValueError("hunt results of another version")
+        if not set(saved["tables"]) <= set(TABLES):
+            raise ValueError("hunt results name an unknown table")
+        matches = {t: spark.read.parquet(f"{path}/{t}") for t in saved["tables"]}
+        summary = spark.createDataFrame([tuple(r[n] for n in SUMMARY.fieldNames()) for r in saved["rules"]], SUMMARY)
+        found = sum(df.count() for df in matches.values())
+        if not found == saved["total_matches"] == sum(r["matches"] for r in saved["rules"]):
+            raise ValueError("files of the hunt results do not match the recorded count")
+        return cls(matches, summary, saved["failures"])
+
+    def summary_text(self) -> str:
+        hits = sorted((r for r in self.rules if r["matches"]), key=lambda r: -r["matches"])
+        lines = [f"Hunt: {len(self.rules)} rules evaluated, {self.total_matches} total matches, {len(self.failures)} failed"]
+        for r in hits:
+            names = [f"{t} {technique(t)[0]}" if technique(t) else t for t in r["attack_tags"].split(", ") if t]
+            lines.append(f"  [{r['level']}] {r['title']}: {r['matches']} matches ({'; '.join(names) or '-'})")
+        return "\n".join(lines + [f"  failed: {name}: {why}" for name, why in self.failures.items()])
+
 
 def hunt(tables: dict[str, DataFrame], rules: list[Rule], min_level: str | None = None, ignore_case: bool = False) -> HuntResults:
     """min_level drops lower rules, those of unknown level included; an unknown min_level drops none. A rule that fails is reported and the others run."""

@@ -6,7 +6,7 @@ import json
 import re
 from pathlib import PurePath
 
-from . import agents
+from . import agents, hive
 from .lines import APACHE, AUDIT, BSD, CLF, MSSQL, MYSQL_NEW, MYSQL_OLD, NGINX, POSTGRES, RFC5424
 from .records import GENERAL_HEADER, ORACLE_TIME, TOMCAT
 
@@ -36,7 +36,7 @@ def classify(raw: bytes, path: PurePath | None = None) -> str | None:
     """Format of a file that begins with these bytes, or None. The path counts as evidence for agents' logs only."""
     raw = raw[:PEEK]
     if raw[:4] == b"regf":
-        return "registry_hive"
+        return None if hive.is_log(raw) else "registry_hive"
     if raw[:4] == b"\x7fELF" or (raw[:2] == b"MZ" and b"\0" in raw[:64]):
         return None
     text = decode(raw).lstrip("\ufeff")
@@ -48,7 +48,9 @@ def classify(raw: bytes, path: PurePath | None = None) -> str | None:
             one = json.loads(head.splitlines()[0])
             if {"__REALTIME_TIMESTAMP", "__CURSOR"} <= one.keys():
                 return "journal_export"
-        except (ValueError, AttributeError):
+            if "System" in one["Event"]:
+                return "evtx_json"
+        except (ValueError, AttributeError, KeyError, TypeError):
             pass
     if text.count("\0") * 8 > len(text):
         return None

@@ -7,6 +7,7 @@ list of files they opened with, so a commit or compaction never changes what the
 from __future__ import annotations
 
 import codecs
+import dataclasses
 import datetime
 import fcntl
 import hashlib
@@ -18,14 +19,17 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import unquote
 
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import cast_columns
+from ..operators import heuristics, sigma, views
+from ..operators.search import search
 from ..plans.schemas import TABLES, partition_by, schema, sort_key
-from . import agents, lines, records, whole
+from . import agents, evtx, hive, lines, records, whole
 from .classify import PEEK, classify, web_log_type
 
 #: Files that are compacted, bytes of a group of them, and of a read while files are examined.
@@ -35,7 +39,8 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LINE_END_KEPT = "(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
 #: Seconds that files which a compaction has replaced are kept for readers that opened before.
 GRACE = 3600
-SKIP = (".zip", ".gz", ".7z", ".exe", ".dll", ".png", ".jpg", ".pdf", ".parquet")
+# Suffixes of files that are never logs. Event logs go by their suffix too.
+SKIP = (".exe", ".dll", ".sys", ".zip", ".gz", ".7z", ".rar", ".pf", ".dmp", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".pdf", ".db", ".sqlite")
 
 
 class CaseAlreadyExistsError(ValueError):
@@ -72,7 +77,7 @@ def _examine(path: Path, host: str) -> dict:
         plain = not reader.getstate()[0] and b"\0" not in first
     # A log without years belongs to the calendar year, in UTC, in which it was last written.
     year = datetime.datetime.fromtimestamp(path.stat().st_mtime, datetime.UTC).year
-    return {"source_path": str(path), "source_file": path.name, "host": host, "kind": classify(first, path), "file_sha256": digest.hexdigest(), "year": year, "plain": plain}
+    return {"source_path": str(path), "source_file": path.name, "host": host, "kind": "evtx" if path.suffix.lower() == ".evtx" else classify(first, path), "file_sha256": digest.hexdigest(), "year": year, "plain": plain}
 
 
 def scan(sources: list[str]) -> list[dict]:
@@ -100,11 +105,12 @@ KINDS = {
     "auditd": ("auditd_logs", lines.auditd), "journal_export": ("journal_logs", lines.journal), "mysql_error": ("db_logs", lines.mysql_error), "postgresql": ("db_logs", lines.postgresql), "mssql": ("db_logs", lines.mssql),
     "mysql_general": ("db_logs", records.mysql_general), "mysql_slow": ("db_logs", records.mysql_slow), "oracle_alert": ("db_logs", records.oracle_alert), "iis": ("web_logs", records.iis), "syslog": ("syslog", None),
     "iis_httperr": ("web_error_logs", records.iis_httperr), **{k: ("qcloud_logs", agents.qcloud(k)) for k in agents.QCLOUD}, "aegis_core": ("aegis_logs", agents.aegis), "aegis_python": ("aegis_logs", agents.aegis),
+    "evtx_json": ("events", lines.evtx_json),
 }
 #: Formats whose records need the order of lines.
 NUMBERED = {k for k, (_, parse) in KINDS.items() if getattr(parse, "__module__", "") in (records.__name__, agents.__name__)}
 #: Parsers of bytes of whole files.
-WHOLE = {"exchange_message_tracking": ("exchange_message_tracking", whole.exchange_tracking), "exchange_generic": ("exchange_logs", whole.exchange_generic), "scheduled_task": ("scheduled_tasks", whole.scheduled_task)}
+WHOLE = {"exchange_message_tracking": ("exchange_message_tracking", whole.exchange_tracking), "exchange_generic": ("exchange_logs", whole.exchange_generic), "scheduled_task": ("scheduled_tasks", whole.scheduled_task), "registry_hive": ("registry", hive.registry), "evtx": ("events", evtx.records)}
 KINDS |= WHOLE
 
 
@@ -173,6 +179,43 @@ class Case:
         df = self.tables().get(name)
         return self.spark.createDataFrame([], schema(name)) if df is None else df.orderBy(F.col(sort_key(name)).asc_nulls_last())
 
+    def rows(self, name: str, **equal) -> DataFrame:
+        """The table in its order, where columns such as log_type or hive_type have the given values; None stands for any."""
+        return views.by_time(self.table(name), **equal)
+
+    def hosts(self) -> list[str]:
+        """Hosts of any table, by the folders of its files."""
+        found = {part.partition("=")[2] for files in self.manifest()["catalog"].values() for f in files for part in f.split("/") if part.startswith("p_host=")}
+        return sorted(unquote(h) for h in found - {"__HIVE_DEFAULT_PARTITION__"})
+
+    def channels(self) -> list[str]:
+        return [r.channel for r in views.distinct_values(self.table("events").where("channel IS NOT NULL"), "channel").collect()]
+
+    def search(self, name: str, **conditions) -> DataFrame:
+        """Rows that meet conditions (see operators.search); stream them with views.chunks() or views.to_csv(), or read them whole with views.to_pandas(), which guards memory."""
+        return search(self.table(name), table=name, **conditions)
+
+    def hunt(self, rules: str, min_level: str | None = None) -> sigma.HuntResults:
+        loaded, failures = sigma.load_rules(rules)
+        tables = self.tables()
+        if not tables:
+            raise RuntimeError("no ingested data")
+        result = sigma.hunt(tables, loaded, min_level)
+        return dataclasses.replace(result, failures=failures | result.failures)
+
+    def auth_events(self) -> DataFrame:
+        return heuristics.auth_events(self.table("syslog"))
+
+    def suspicious_tasks(self) -> DataFrame:
+        return heuristics.suspicious_tasks(self.table("scheduled_tasks"))
+
+    def suspicious_registry(self, entropy_threshold: float = 7.0, min_size: int = 32) -> DataFrame:
+        return heuristics.suspicious_registry(self.table("registry"), entropy_threshold, min_size)
+
+    def sources(self) -> list[dict]:
+        """Files that were ingested: path, host, kind and hash."""
+        return [dict(zip(("source_path", "host", "kind", "file_sha256"), x, strict=True)) for x in self.manifest()["ledger"]]
+
     def query(self, sql: str, args: list | None = None) -> DataFrame:
         tables = self.tables()
         if not tables:
@@ -209,8 +252,13 @@ class Case:
     def rows_of(files: list[str]) -> int:
         return sum(pq.read_metadata(f).num_rows for f in files)
 
-    def ingest(self, sources: list[str]) -> list[dict]:
-        """Parses files that the ledger does not hold, and commits them in one step. Returns a report per file: kind, status, rows, errors."""
+    def ingest(self, sources: list[str], keep_raw: bool = False, codec: str | None = None, progress=lambda phase: None) -> list[dict]:
+        """Parses files that the ledger does not hold, and commits them in one step. Returns a report per file: kind, status, rows, errors.
+
+        keep_raw and codec are for binary event logs: their records as XML too, and the codec of strings that are not Unicode. progress is
+        called with each phase as it begins: scanning, staging, flattening.
+        """
+        progress("scanning")
         found = scan(sources)
         if not found:
             raise NoSourcesFoundError(", ".join(sources))
@@ -218,6 +266,7 @@ class Case:
         report = [f | {"status": "unknown", "rows": 0, "errors": 0} for f in found if f["kind"] not in KINDS]
         todo = [f for f in found if f["kind"] in KINDS and (f["source_path"], f["host"], f["kind"], f["file_sha256"]) not in done]
         new: dict[str, list[str]] = {}
+        progress("staging")
         for kind in sorted({f["kind"] for f in todo}):
             table, parse = KINDS[kind]
             mine = [f for f in todo if f["kind"] == kind]
@@ -227,7 +276,12 @@ class Case:
                 text = self.spark.read.format("binaryFile").load(paths).select(_file(), "content")
             else:
                 text = self._lines([f["source_path"] for f in mine if f["plain"]], [f["source_path"] for f in mine if not f["plain"]], kind in NUMBERED, LINE_END_KEPT if table == "aegis_logs" else LINE_END)
-            if kind == "syslog":
+            if kind == "evtx":
+                rows = lines.evtx_json(evtx.records(text, codec, keep_raw))
+            elif kind == "registry_hive":
+                logs = [str(p) for f in paths for p in Path(f).parent.iterdir() if p.name.lower() in (f"{Path(f).name.lower()}.log1", f"{Path(f).name.lower()}.log2") and p.stat().st_size]
+                rows = hive.registry(text, self.spark.read.format("binaryFile").load(sorted(set(logs))).select(_file(), "content") if logs else None)
+            elif kind == "syslog":
                 text = text.join(F.broadcast(info.select("file", "year")), "file")
                 modern = F.col("line").rlike(lines.RFC5424.pattern)
                 rows = lines.syslog_5424(text.where(modern)).unionByName(lines.syslog_bsd(text.where(~modern), F.col("year")), allowMissingColumns=True)
@@ -245,6 +299,7 @@ class Case:
             for f in mine:
                 ok, bad = counts.get(f["source_path"], (0, 0))
                 report.append(f | {"status": "failed" if not ok else "partial" if bad else "ok", "rows": ok, "errors": bad})
+        progress("flattening")
         self.commit(new, [[f["source_path"], f["host"], f["kind"], f["file_sha256"]] for f in todo])
         return report
 

@@ -13,7 +13,7 @@ from .functions.casts import timestamp
 from .functions.values import entropy, json_member, uri_parts
 from .operators import heuristics, relational, sigma, views
 from .operators.search import discover_fields, search
-from .sources import agents, lines, records
+from .sources import agents, lines, records, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -384,6 +384,82 @@ query("known_task_hijack", _KNOWN.replace("\\\\", "\x00").replace("\\", "\\").re
 )
 
 
+# Formats read as whole files, and records of several lines ---------------------------------------------------------------------------------------
+_HTTPERR = "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' 10.0.0.', user_id % 250, ' ', 1000 + event_id % 60000, ' 10.1.1.1 443 HTTP/1.1 GET /x/', event_id, ' ', CASE WHEN event_id % 3 = 0 THEN '-' ELSE '503' END, ' ', event_type)"
+
+
+def _httperr(spark, sf):
+    body = _event_lines(spark, sf, _HTTPERR)
+    fields = "#Fields: date time c-ip c-port s-ip s-port cs-version cs-method cs-uri sc-status s-reason"
+    head = body.select("file").distinct().select("file", F.lit(-1).cast("long").alias("line_no"), F.lit(fields).alias("line"))
+    rows = records.iis_httperr(body.unionByName(head)).where("ok")
+    return rows.select(F.col("line_no").alias("event_id"), "time_created", "client_ip", "client_port", "method", "uri", F.col("status").cast("int").alias("status"), "message")
+
+
+query(
+    "iis_httperr_parse",
+    """SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS time_created, concat('10.0.0.', user_id % 250) AS client_ip, (1000 + event_id % 60000)::VARCHAR AS client_port,
+'GET' AS method, concat('/x/', event_id) AS uri, CASE WHEN event_id % 3 <> 0 THEN 503 END::INTEGER AS status, event_type AS message FROM events""",
+)(_httperr)
+
+
+def _csv_files(spark, sf, head: str, row: str) -> DataFrame:
+    """A file for each user: the head, then a row for each event in order."""
+    rows = t(spark, sf, "events").select(F.col("user_id").cast("string").alias("file"), "event_id", F.expr(row).alias("line"))
+    some = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x.line)
+    return rows.groupBy("file").agg(F.concat(F.lit(head), F.array_join(some, "\n")).cast("binary").alias("content"))
+
+
+_TRACKING = "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), ',', upper(event_type), ',s', user_id, '@x.y,\"m ', event_id, ', \"\"quoted\"\"\",', event_id % 5000, ',', CASE WHEN event_id % 2 = 0 THEN 'more' ELSE '' END)"
+query(
+    "exchange_tracking_parse",
+    """SELECT user_id::VARCHAR AS file, date_trunc('milliseconds', ts)::TIMESTAMP AS time_created, upper(event_type) AS event_id, concat('s', user_id, '@x.y') AS sender_address,
+concat('m ', event_id, ', "quoted"') AS message_subject, (event_id % 5000)::BIGINT AS total_bytes, CASE WHEN event_id % 2 = 0 THEN 'more' END AS extra_note FROM events""",
+)(
+    lambda spark, sf: whole.exchange_tracking(_csv_files(spark, sf, "#Software: Microsoft Exchange Server\n#Fields: date-time,event-id,sender-address,message-subject,total-bytes,note\n", _TRACKING)).where("ok")
+    .select("file", "time_created", "event_id", "sender_address", "message_subject", F.col("total_bytes").cast("long").alias("total_bytes"), json_member(F.col("extra"), "note").alias("extra_note"))
+)
+query(
+    "exchange_generic_parse",
+    "SELECT event_id % 4 <> 3 AS ok, 'HttpProxy' AS log_type, CASE WHEN event_id % 4 <> 3 THEN date_trunc('second', ts)::TIMESTAMP END AS time_created, CASE WHEN event_id % 4 <> 3 THEN event_type END AS what FROM events",
+)(
+    lambda spark, sf: whole.exchange_generic(_csv_files(spark, sf, "#Log-type: HttpProxy\n#Fields: DateTime,What\n", "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',', event_type, CASE WHEN event_id % 4 = 3 THEN ',one too many' ELSE '' END)"))
+    .select("ok", "log_type", "time_created", json_member(F.col("fields"), "What").alias("what"))
+)
+_TASK = """concat('<?xml version="1.0"?><Task xmlns="http://schemas.microsoft.com/windows/2004/02/mit/task"><RegistrationInfo><Author>a', p_size, '</Author></RegistrationInfo><Settings><Hidden>', p_partkey % 2 = 0,
+'</Hidden></Settings><Triggers><BootTrigger/></Triggers><Actions><Exec><Command>c:\\\\', p_partkey, '.exe</Command><Arguments> -x </Arguments></Exec>', CASE WHEN p_partkey % 3 = 0 THEN '<ComHandler><ClassId>7</ClassId></ComHandler>' ELSE '' END, '</Actions></Task>')"""
+query(
+    "scheduled_task_parse",
+    """SELECT concat('\\a\\t', p_partkey) AS task_path, concat('t', p_partkey) AS task_name, concat('a', p_size) AS author, p_partkey % 2 = 0 AS hidden, concat('c:\\', p_partkey, '.exe') AS action_command, '-x' AS action_arguments,
+CASE WHEN p_partkey % 3 = 0 THEN 'Exec,ComHandler' ELSE 'Exec' END AS action_types, 'BootTrigger' AS trigger_types FROM part""",
+)(
+    lambda spark, sf: whole.scheduled_task(t(spark, sf, "part").select(F.expr("concat('/x/Tasks/a/t', p_partkey)").alias("file"), F.expr(_TASK).cast("binary").alias("content"))).where("ok")
+    .select("task_path", "task_name", "author", F.col("hidden").cast("boolean").alias("hidden"), "action_command", "action_arguments", "action_types", "trigger_types")
+)
+_SLOW = [
+    "concat('# Time: ', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\"))",
+    "concat('# User@Host: u', user_id, '[u', user_id, '] @ ', CASE WHEN event_id % 2 = 0 THEN 'h1' ELSE '' END, ' [10.0.0.9]  Id: ', event_id)",
+    "concat('# Query_time: ', event_id % 90, '.5  Lock_time: 0.1 Rows_sent: 3  Rows_examined: ', event_id % 1000)",
+    "'SET timestamp=1700000000;'",
+    "concat('SELECT ', event_id, ',')",
+    "'  2;'",
+]
+
+
+def _slow(spark, sf):
+    six = F.array(*(F.struct(F.lit(k).alias("k"), F.expr(x).alias("line")) for k, x in enumerate(_SLOW)))
+    each = t(spark, sf, "events").select(F.col("user_id").cast("string").alias("file"), "event_id", F.explode(six).alias("s"))
+    rows = records.mysql_slow(each.select("file", (F.col("event_id") * 6 + F.col("s.k")).alias("line_no"), F.col("s.line").alias("line")))
+    return rows.where("ok").select("file", "time_created", "user_name", "client_address", F.col("thread_id").cast("long").alias("event_id"), "query_time_sec", "rows_examined", "message", json_member(F.col("extra"), "rows_sent").alias("rows_sent"))
+
+
+query(
+    "db_mysql_slow_parse",
+    """SELECT user_id::VARCHAR AS file, ts::TIMESTAMP AS time_created, concat('u', user_id) AS user_name, CASE WHEN event_id % 2 = 0 THEN 'h1' ELSE '10.0.0.9' END AS client_address, event_id,
+(event_id % 90 + 0.5)::DOUBLE AS query_time_sec, (event_id % 1000)::BIGINT AS rows_examined, concat('SELECT ', event_id, ',', chr(10), '  2;') AS message, '3' AS rows_sent FROM events""",
+)(_slow)
+
+
 # Delivery and storage -----------------------------------------------------------------------------------------------------------------------------
 def _chunks(spark, sf):
     d = t(spark, sf, "events").select("event_id", "user_id", "event_type")

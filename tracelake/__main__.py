@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -96,9 +95,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
-    root = Path(args.case_root)
     if args.command == "list":
-        print("\n".join(sorted(p.parent.name for p in root.glob("*/case.json"))))
+        print("\n".join(Case.names(spark or build(), args.case_root)))
         return 0
     if args.command == "version":
         print(__version__)

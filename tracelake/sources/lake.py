@@ -1,4 +1,4 @@
-"""A case: a directory of partitioned Parquet tables with one manifest that is replaced atomically.
+"""A case: a folder, on any file system that Spark reaches, of partitioned Parquet tables with one manifest that is replaced atomically.
 
 A batch is written into a workspace of its own, its Parquet footers are counted against the rows parsed, and then the manifest names the new files. Readers hold the
 list of files they opened with, so a commit or compaction never changes what they see.
@@ -9,19 +9,19 @@ from __future__ import annotations
 import codecs
 import dataclasses
 import datetime
-import fcntl
 import hashlib
 import json
 import os
-import shutil
+import re
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from pathlib import Path
+from pathlib import Path, PurePath, PurePosixPath
 from urllib.parse import unquote
 
-import pyarrow.parquet as pq
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +31,7 @@ from ..operators.search import search
 from ..plans.schemas import TABLES, partition_by, schema, sort_key
 from . import agents, evtx, hive, lines, records, whole
 from .classify import PEEK, classify, web_log_type
+from .store import URI, Store
 
 #: Files that are compacted, bytes of a group of them, and of a read while files are examined.
 SMALL, GROUP, CHUNK = 8 << 20, 256 << 20, 1 << 20
@@ -55,36 +56,85 @@ class NoSourcesFoundError(ValueError):
     pass
 
 
+class SourceChangedError(RuntimeError):
+    """A file was written to while it was ingested; nothing of the run is committed."""
+
+
 def source_arg(text: str) -> tuple[str, str | None]:
     """PATH[:HOST]; what follows the last colon is a host if it holds no slash (so drive letters are safe)."""
     path, colon, host = text.rpartition(":")
     return (path, host) if colon and path and host and not set(host) & set("/\\") else (text, None)
 
 
-def _examine(path: Path, host: str) -> dict:
-    """What one pass over a file tells: kind, hash, and whether it is UTF-8 throughout."""
-    digest, reader, plain, first = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), True, b""
+def _chunks(path: Path) -> Iterator[bytes]:
     with path.open("rb") as f:
         while chunk := f.read(CHUNK):
-            first = first or chunk[:PEEK]
-            digest.update(chunk)
-            if plain:
-                try:
-                    reader.decode(chunk)
-                except UnicodeDecodeError:
-                    plain = False
+            yield chunk
+
+
+def _facts(path: PurePath, chunks: Iterable[bytes], written: float) -> dict:
+    """What one pass over a file tells: kind, hash, and whether it is UTF-8 throughout. written: seconds since 1970."""
+    digest, reader, plain, first = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), True, b""
+    for chunk in chunks:
+        first = first or chunk[:PEEK]
+        digest.update(chunk)
+        if plain:
+            try:
+                reader.decode(chunk)
+            except UnicodeDecodeError:
+                plain = False
     if plain:
         plain = not reader.getstate()[0] and b"\0" not in first
     # A log without years belongs to the calendar year, in UTC, in which it was last written.
-    year = datetime.datetime.fromtimestamp(path.stat().st_mtime, datetime.UTC).year
-    return {"source_path": str(path), "source_file": path.name, "host": host, "kind": "evtx" if path.suffix.lower() == ".evtx" else classify(first, path), "file_sha256": digest.hexdigest(), "year": year, "plain": plain}
+    year = datetime.datetime.fromtimestamp(written, datetime.UTC).year
+    kind = "evtx" if path.suffix.lower() == ".evtx" else classify(first, path)
+    return {"source_file": path.name, "kind": kind, "file_sha256": digest.hexdigest(), "year": year, "plain": plain}
+
+
+def _signature(path: str, store: Store | None) -> list[int]:
+    """What changes when a file is written to."""
+    if store and re.match(URI, path):
+        return store.signature(path)
+    st = os.stat(path)
+    return [st.st_size, st.st_mtime_ns, st.st_ino]
+
+
+def _examine(path: Path, host: str) -> dict:
+    signature = _signature(str(path), None)
+    return {"source_path": str(path), "host": host, "signature": signature} | _facts(path, _chunks(path), path.stat().st_mtime)
+
 
+FACTS = pa.schema([("source_path", pa.string()), ("source_file", pa.string()), ("kind", pa.string()), ("file_sha256", pa.string()), ("year", pa.int32()), ("plain", pa.bool_())])
 
-def scan(sources: list[str]) -> list[dict]:
-    """Files below the sources with host, kind and hash; each file once for each host. Files are read in parallel: hashing leaves Python's lock."""
-    todo, seen = [], set()
+
+def _read_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            parts = (r["content"][k : k + CHUNK] for k in range(0, len(r["content"]), CHUNK))
+            yield pa.RecordBatch.from_pylist([{"source_path": r["path"]} | _facts(PurePosixPath(r["path"]), parts, r["written"])], schema=FACTS)
+
+
+def _examine_there(spark: SparkSession, root: str, host: str) -> list[dict]:
+    """The same for files that only Spark's readers reach: tasks read them, a few facts of each come back."""
+    store = Store(spark, root)
+    if not store.exists(""):
+        raise NoSourcesFoundError(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0").where(~F.lower("path").rlike(f"({'|'.join(map(re.escape, SKIP))})$"))
+    # A local file has the same name here as in `_file`.
+    files = df.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content", (F.unix_micros("modificationTime") / 1e6).alias("written"))
+    found = files.mapInArrow(_read_facts, "source_path string, source_file string, kind string, file_sha256 string, year int, plain boolean").orderBy("source_path").collect()
+    return [{"host": host, "signature": _signature(r.source_path, store)} | r.asDict() for r in found]
+
+
+def scan(sources: list[str], spark: SparkSession | None = None) -> list[dict]:
+    """Files below the sources with host, kind and hash; each file once for each host. Local files are read in parallel here (hashing leaves Python's lock); those of a
+    source that names a file system (`hdfs://...`) by Spark's tasks."""
+    todo, seen, there = [], set(), []
     for s in sources:
         root, host = source_arg(s)
+        if re.match(URI, root) and spark is not None:
+            there += _examine_there(spark, root, host or PurePosixPath(root).name)
+            continue
         if not os.path.exists(root):
             raise NoSourcesFoundError(root)
         files = [Path(root)] if os.path.isfile(root) else sorted(Path(d) / n for d, _, names in os.walk(root) for n in names)
@@ -96,7 +146,15 @@ def scan(sources: list[str]) -> list[dict]:
             seen.add((st.st_dev, st.st_ino, name))
             todo.append((p, name))
     with ThreadPoolExecutor(min(32, 2 * (os.cpu_count() or 1))) as pool:
-        return list(pool.map(lambda x: _examine(*x), todo))
+        here = list(pool.map(lambda x: _examine(*x), todo))
+    return list({(f["source_path"], f["host"]): f for f in here + there}.values())
+
+
+def _transaction_logs(store: Store, hives: list[str]) -> list[str]:
+    """Files beside the hives that are named like one and .log1 or .log2, in any case."""
+    wanted = {f"{h.lower()}.log{k}" for h in hives for k in (1, 2)}
+    folders = {h.rsplit("/", 1)[0] for h in hives}
+    return sorted(f for d in folders for f, size in store.beside(d) if f.lower() in wanted and size)
 
 
 #: Kind to table and parser; parsers of records take whole files, those of lines any split of them.
@@ -119,11 +177,10 @@ def _file() -> Column:
     return F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("file")
 
 
-def _packed(files: list[str]) -> list[list[str]]:
-    """Files in order, in groups of at most GROUP bytes."""
+def _packed(files: list[tuple[str, int]]) -> list[list[str]]:
+    """Files, given with their sizes, in order, in groups of at most GROUP bytes."""
     out, size = [[]], 0
-    for f in files:
-        n = os.path.getsize(f)
+    for f, n in files:
         if out[-1] and size + n > GROUP:
             out.append([])
             size = 0
@@ -134,41 +191,34 @@ def _packed(files: list[str]) -> list[list[str]]:
 
 class Case:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.store = spark, root, Store(spark, root)
 
     @classmethod
     def create(cls, spark: SparkSession, name: str, case_root: str = "./cases") -> Case:
-        root = f"{case_root}/{name}"
-        if os.path.exists(f"{root}/case.json"):
+        case = cls(spark, f"{case_root}/{name}")
+        if case.store.exists("case.json"):
             raise CaseAlreadyExistsError(name)
-        os.makedirs(root, exist_ok=True)
-        case = cls(spark, root)
         case._replace({"name": name, "id": uuid.uuid4().hex, "catalog": {}, "ledger": [], "runs": []})
         return case
 
     @classmethod
     def open(cls, spark: SparkSession, name: str, case_root: str = "./cases") -> Case:
-        if not os.path.exists(f"{case_root}/{name}/case.json"):
+        case = cls(spark, f"{case_root}/{name}")
+        if not case.store.exists("case.json"):
             raise CaseNotFoundError(name)
-        return cls(spark, f"{case_root}/{name}")
+        return case
+
+    @staticmethod
+    def names(spark: SparkSession, case_root: str = "./cases") -> list[str]:
+        """Cases below a folder."""
+        root = Store(spark, case_root)
+        return [n for n in root.folders() if root.exists(f"{n}/case.json")]
 
     def manifest(self) -> dict:
-        with open(f"{self.root}/case.json", encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(self.store.read("case.json"))
 
     def _replace(self, data: dict) -> None:
-        new = f"{self.root}/case.json.new"
-        with open(new, "w", encoding="utf-8") as f:
-            json.dump(data, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(new, f"{self.root}/case.json")
-
-    @contextmanager
-    def _locked(self):
-        with open(f"{self.root}/.lock", "w") as f:
-            fcntl.flock(f, fcntl.LOCK_EX)
-            yield
+        self.store.replace("case.json", json.dumps(data))
 
     def tables(self) -> dict[str, DataFrame]:
         """Each table as of now: a fixed list of files."""
@@ -214,7 +264,7 @@ class Case:
 
     def sources(self) -> list[dict]:
         """Files that were ingested: path, host, kind and hash."""
-        return [dict(zip(("source_path", "host", "kind", "file_sha256"), x, strict=True)) for x in self.manifest()["ledger"]]
+        return [dict(zip(("source_path", "host", "kind", "file_sha256"), x, strict=False)) for x in self.manifest()["ledger"]]
 
     def query(self, sql: str, args: list | None = None) -> DataFrame:
         tables = self.tables()
@@ -228,16 +278,15 @@ class Case:
         """Canonical rows as Parquet files of a new workspace; nothing sees them before commit()."""
         batch = batch or uuid.uuid4().hex
         work = f"{self.root}/lake/{table}/batch={batch}"
-        os.makedirs(f"{self.root}/writing", exist_ok=True)
-        Path(f"{self.root}/writing/{batch}").touch()
+        self.store.replace(f"writing/{batch}", "")
         by = partition_by(table)
         rows = cast_columns(df, table, batch)
         # Partition columns stay in the files too, so that a reader needs no path parsing and null or empty values survive.
         rows.select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"p_{c}") for c in by)).write.partitionBy(*(f"p_{c}" for c in by)).option("compression", "zstd").parquet(work)
-        return sorted(str(p) for p in Path(work).rglob("*.parquet"))
+        return sorted(self.store.files(work, ".parquet"))
 
     def commit(self, new: dict[str, list[str]], ledger: list[list[str]] = (), retired: list[str] = ()) -> None:
-        with self._locked():
+        with self.store.lock():
             m = self.manifest()
             for t, files in new.items():
                 m["catalog"][t] = [f for f in m["catalog"].get(t, []) if f not in set(retired)] + files
@@ -246,11 +295,10 @@ class Case:
             m["runs"].append(sorted(new))
             self._replace(m)
         for batch in {x.removeprefix("batch=") for files in new.values() for f in files for x in f.split("/") if x.startswith("batch=")}:
-            Path(f"{self.root}/writing/{batch}").unlink(missing_ok=True)
+            self.store.delete(f"writing/{batch}")
 
-    @staticmethod
-    def rows_of(files: list[str]) -> int:
-        return sum(pq.read_metadata(f).num_rows for f in files)
+    def rows_of(self, files: list[str]) -> int:
+        return self.store.rows(files)
 
     def ingest(self, sources: list[str], keep_raw: bool = False, codec: str | None = None, progress=lambda phase: None) -> list[dict]:
         """Parses files that the ledger does not hold, and commits them in one step. Returns a report per file: kind, status, rows, errors.
@@ -259,12 +307,15 @@ class Case:
         called with each phase as it begins: scanning, staging, flattening.
         """
         progress("scanning")
-        found = scan(sources)
+        found = scan(sources, self.spark)
         if not found:
             raise NoSourcesFoundError(", ".join(sources))
         done = {tuple(x) for x in self.manifest()["ledger"]}
         report = [f | {"status": "unknown", "rows": 0, "errors": 0} for f in found if f["kind"] not in KINDS]
-        todo = [f for f in found if f["kind"] in KINDS and (f["source_path"], f["host"], f["kind"], f["file_sha256"]) not in done]
+        how = f"{evtx.ansi_codec(codec)} {keep_raw}"
+        # An event log read in another way is another source.
+        identity = lambda f: (f["source_path"], f["host"], f["kind"], f["file_sha256"], *([how] if f["kind"] == "evtx" else []))
+        todo = [f for f in found if f["kind"] in KINDS and identity(f) not in done]
         new: dict[str, list[str]] = {}
         progress("staging")
         for kind in sorted({f["kind"] for f in todo}):
@@ -279,8 +330,8 @@ class Case:
             if kind == "evtx":
                 rows = lines.evtx_json(evtx.records(text, codec, keep_raw))
             elif kind == "registry_hive":
-                logs = [str(p) for f in paths for p in Path(f).parent.iterdir() if p.name.lower() in (f"{Path(f).name.lower()}.log1", f"{Path(f).name.lower()}.log2") and p.stat().st_size]
-                rows = hive.registry(text, self.spark.read.format("binaryFile").load(sorted(set(logs))).select(_file(), "content") if logs else None)
+                logs = _transaction_logs(self.store, paths)
+                rows = hive.registry(text, self.spark.read.format("binaryFile").load(logs).select(_file(), "content") if logs else None)
             elif kind == "syslog":
                 text = text.join(F.broadcast(info.select("file", "year")), "file")
                 modern = F.col("line").rlike(lines.RFC5424.pattern)
@@ -300,7 +351,10 @@ class Case:
                 ok, bad = counts.get(f["source_path"], (0, 0))
                 report.append(f | {"status": "failed" if not ok else "partial" if bad else "ok", "rows": ok, "errors": bad})
         progress("flattening")
-        self.commit(new, [[f["source_path"], f["host"], f["kind"], f["file_sha256"]] for f in todo])
+        for f in todo:
+            if _signature(f["source_path"], self.store) != f["signature"]:
+                raise SourceChangedError(f["source_path"])
+        self.commit(new, [identity(f) for f in todo])
         return report
 
     def _lines(self, plain: list[str], other: list[str], numbered: bool, end: str = LINE_END) -> DataFrame:
@@ -324,10 +378,11 @@ class Case:
         """Small files of a partition become one for each group of at most GROUP bytes; counts are compared before the manifest changes. Old files stay until cleanup()."""
         before, after = 0, 0
         for t, files in self.manifest()["catalog"].items():
-            groups: dict[str, list[str]] = {}
+            groups: dict[str, list[tuple[str, int]]] = {}
             for f in files:
-                if os.path.getsize(f) < SMALL:
-                    groups.setdefault(os.path.relpath(os.path.dirname(f), f"{self.root}/lake/{t}").split("/", 1)[-1], []).append(f)
+                size = self.store.size(f)
+                if size < SMALL:
+                    groups.setdefault("/".join(x for x in f.split("/") if x.startswith("p_")), []).append((f, size))
             for group in (g for files in groups.values() for g in _packed(files)):
                 if len(group) < least:
                     continue
@@ -335,9 +390,9 @@ class Case:
                 rows = self.spark.read.schema(schema(t)).option("basePath", f"{self.root}/lake/{t}").parquet(*group).select(*schema(t).names)
                 by = partition_by(t)
                 rows.coalesce(1).select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"p_{c}") for c in by)).write.partitionBy(*(f"p_{c}" for c in by)).option("compression", "zstd").parquet(work)
-                made = sorted(str(p) for p in Path(work).rglob("*.parquet"))
+                made = sorted(self.store.files(work, ".parquet"))
                 if self.rows_of(made) != self.rows_of(group):
-                    shutil.rmtree(work)
+                    self.store.delete(work)
                     raise RuntimeError(f"{t}: compaction changed the number of rows")
                 self.commit({t: made}, retired=group)
                 before, after = before + len(group), after + len(made)
@@ -345,17 +400,16 @@ class Case:
 
     def cleanup(self, grace: float = GRACE) -> list[str]:
         """Removes files that nothing needs: not named by the manifest, not leased, not of a batch that is being written, and not retired within the last `grace` seconds."""
-        with self._locked():
+        with self.store.lock():
             m = self.manifest()
-            needed = {f for files in m["catalog"].values() for f in files}
+            needed = {self.store.qualified(f) for files in m["catalog"].values() for f in files}
             needed |= {f for f, at in m.get("retired", {}).items() if time.time() - at < grace}
-            for lease in Path(f"{self.root}/leases").glob("*.json"):
-                needed |= set(json.loads(lease.read_text(encoding="utf-8")))
-            writing = {p.name for p in Path(f"{self.root}/writing").glob("*")}
-            files = [p for p in Path(f"{self.root}/lake").rglob("*.parquet") if p.is_file()]
-            gone = [str(p) for p in files if str(p) not in needed and not writing & {x.removeprefix("batch=") for x in p.parts}]
-            for p in gone:
-                os.remove(p)
+            for lease in self.store.files("leases", ".json"):
+                needed |= set(json.loads(self.store.read(lease)))
+            writing = {x.rsplit("/", 1)[-1] for x in self.store.files("writing")}
+            gone = [f for f in self.store.files("lake", ".parquet") if f not in needed and not writing & {x.removeprefix("batch=") for x in f.split("/")}]
+            for f in gone:
+                self.store.delete(f)
             m["retired"] = {f: at for f, at in m.get("retired", {}).items() if f not in set(gone)}
             self._replace(m)
         return gone
@@ -363,15 +417,14 @@ class Case:
     @contextmanager
     def snapshot(self):
         """The tables as of now; while inside, no cleanup removes their files."""
-        os.makedirs(f"{self.root}/leases", exist_ok=True)
-        lease = f"{self.root}/leases/{uuid.uuid4().hex}.json"
-        with self._locked():
+        lease = f"leases/{uuid.uuid4().hex}.json"
+        with self.store.lock():
             files = [f for files in self.manifest()["catalog"].values() for f in files]
-            Path(lease).write_text(json.dumps(files), encoding="utf-8")
+            self.store.replace(lease, json.dumps(files))
         try:
             yield self.tables()
         finally:
-            os.remove(lease)
+            self.store.delete(lease)
 
     def counts(self) -> dict[str, int]:
         return {t: self.rows_of(files) for t, files in self.manifest()["catalog"].items() if t in TABLES}

@@ -475,3 +475,17 @@ def test_decontamination_of_changed_copies(spark):
     rows = [(1, again), (2, price.replace("900", "1,200").replace("3 ", "2.50 ").replace("10 ", "12.5 ")), (3, tom.lower()), (4, tom.upper()), (5, again.replace(" ", "\n")), (6, mixed)]
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 1), (2, 2), (3, 1), (4, 1), (5, 1)}
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """A benchmark of many blocks, with one item_id over and over, gives what one block gives."""
+    words = [f"w{k}" for k in range(400)]
+    r = random.Random(5)
+    items = [(k % 3 and k, " ".join(r.choice(words) for _ in range(12))) for k in range(60)]
+    docs = [(k, " ".join([*(r.choice(words) for _ in range(9)), items[k % 60][1] if k % 2 else "", "end"])) for k in range(120)] + [(None, items[1][1]), (500, None), (501, "")]
+    d, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items * 2, "item_id long, text string")
+    run = lambda: (sorted(map(tuple, decontam.leaks(d, bench).collect())), sorted(map(str, decontam.clean(d, bench).collect())))
+    whole = run()
+    assert len({x[0] for x in whole[0]}) == 60 and len(whole[1]) == 62
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 900)
+    assert run() == whole

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .textkit import LOWER, flat, shingle_hashes, slices, word_hashes, word_spans
 
 WIDTH, SHARE = 5, 75
@@ -191,13 +192,14 @@ def _without(held):
 
 
 def _blocks(benchmark: DataFrame) -> Iterator:
-    """The items in blocks of about BLOCK_BYTES of text, bounded by the parameter whatever the benchmark's size; each as a broadcast value."""
+    """The different items in blocks of about BLOCK_BYTES of text, bounded by the parameter whatever the benchmark's size; each as a broadcast value. Items of one item_id
+    fall into different blocks, so none of them makes a block large."""
     spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(blocks):
-        some = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]
+        some = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
         yield spark.sparkContext.broadcast(sorted(some))
 
 
@@ -217,7 +219,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns stay as they are. Each row is judged by its own text, so rows without doc_id are, too. No shuffle."""
-    for held in _blocks(benchmark):
+    """docs without the rows that hold a benchmark item; all columns stay as they are. Each row is judged by its own text, so rows without doc_id are, too. No shuffle.
+    What is left after a block is written to the shared folder before the next, so that a task holds one block's index at a time."""
+    scratch, written = None, []
+    for k, held in enumerate(_blocks(benchmark)):
+        if k:
+            scratch = scratch or Scratch(docs.sparkSession)
+            docs = scratch.save(docs)
+            scratch.drop(*written)
+            written = [docs]
         docs = docs.mapInArrow(_without(lambda held=held: held.value), docs.schema)
     return docs

@@ -234,6 +234,38 @@ def test_passages_with_quotes(spark):
     assert [(x.begin_word, x.end_word) for x in got[0].spans] == [(0, 59), (140, 199)]
 
 
+def test_passages_of_frequent_signatures(spark, monkeypatch):
+    """Links of near copies are found though they share signatures with many documents that hold no copy: passages of 60 words around one line of 36 words, each
+    held by two documents only, which further documents link with one another."""
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    monkeypatch.setattr(passages, "SMALL", 4)
+    r = random.Random(17)
+    words = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
+    line, rows = words(36), []
+    passage = [words(12) + line + words(12) for _ in range(80)]
+    names = r.sample(range(1000), 240)
+    for k, x in enumerate(passage):
+        rows += [(names[2 * k], " ".join(words(20) + x + words(20))), (names[2 * k + 1], " ".join(words(30) + x + words(10)))]
+    # 20 documents hold another passage of the first of a pair, and one of the next pair.
+    bridge = [words(60) for _ in range(20)]
+    rows += [(1000 + k, " ".join(words(9) + x + words(9) + passage[k])) for k, x in enumerate(bridge)] + [(2000 + k, " ".join(x + words(5) + passage[k + 1])) for k, x in enumerate(bridge)]
+    got = {x.doc_id: x for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: {tuple(w[k : k + 50]) for w in [t.split()] for k in range(len(w) - 49)} for d, t in rows}
+    to = {d: d for d in sets}
+
+    def find(x):
+        return x if to[x] == x else find(to[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] & sets[b]:
+                x, y = sorted((find(a), find(b)))
+                to[y] = x
+    assert {d: x.component_id for d, x in got.items()} == {d: find(d) for d in sets}
+    assert all({(x.begin_word, x.end_word) for x in got[names[2 * k]].spans} == {(20, 79)} for k in range(80))
+    assert all({(x.begin_word, x.end_word) for x in got[names[2 * k + 1]].spans} == {(30, 89)} for k in range(80))
+
+
 def test_licenses(docs, none):
     for r in licenses.scan(docs.select("doc_id", F.col("text").alias("t"), "score"), "t").join(docs.select("doc_id", "text"), "doc_id").collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))

@@ -6,16 +6,21 @@
    intersection. Each of PAIRS pairs gives signatures of its own: at similarity 0.75 two passages share at least one of five with odds of 0.98, while a
    line that many documents quote rarely holds both smallest tokens.
 3. shared_tokens() finds the signatures that stand twice, with 8 bytes a signature.
-4. Windows of one signature meet in blocks of about BLOCK documents, and each block's first document meets those of other blocks a level higher, so a
-   signature that a third of all rows hold is spread over many tasks and no group is expanded into all its pairs. In a block each document meets the
-   first one and the one before it.
+   Windows are cut to their first and last token that stands twice; one without a stretch of TOKENS tokens of which SHARE % stand twice holds no passage.
+4. All windows of a signature of at most SMALL documents meet each other. Those of a more frequent one first meet in blocks of about BLOCK documents, each
+   document the block's first one and the one before it, and each block's first document meets those of other blocks a level higher.
 5. Windows of a pair of documents are joined as intervals, one stretch for each course that they follow; a stretch is cut to its first and last common token and verified by
    exact Jaccard similarity of its token sets. Where it fails it is cut at ever smaller gaps.
-6. The passages of a class are merged into maximal spans before they go to the class's documents: one row a document.
+6. Of the pairs that frequent signatures have left, those that can still tell something meet as well: a passage outside the spans verified so far, or a link
+   between two components. Such windows share a token outside the spans, or one of the rarest of a stretch (prefix filter). Pairs that do not are skipped:
+   both passages lie in verified spans, and both documents are in one component.
+7. The passages of a class are merged into maximal spans before they go to the class's documents: one row a document, with its component of links.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, partitions
+from .jaccard import components
 from .shared import shared_tokens
 from .textkit import TOKEN_BITS, minimum_runs, mix, shingles, slices
 
@@ -31,6 +37,11 @@ WIDTH, SHARE = 5, 75
 #: Shingles of the shortest passage: 50 words.
 TOKENS = 46
 PAIRS = 5
+#: Signatures of at most so many documents, and windows, have all their pairs compared at once.
+SMALL, FEW = 32, 512
+#: Of two similar passages one has TOKENS tokens in a row of which at most this many are missing in the other. (A passage of 46 to 91 tokens has a quarter missing
+#: at most, and a longer one has such a part; the better of its first and last 46 tokens misses 18 at most.)
+MISSING = 18
 #: Documents of one signature that meet in one block, and levels of blocks: enough for BLOCK ** LEVELS windows of one signature.
 BLOCK, LEVELS = 512, 5
 #: Windows whose offsets between two documents differ by more than this follow different courses.
@@ -41,6 +52,11 @@ SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * PAIRS, dtype=np.uint64
 
 PIECES = "kind int, tok long, df long, key long, l int, r int, tokens array<long>"
 PIECE_TYPES = pa.schema([("kind", pa.int32()), ("tok", pa.int64()), ("df", pa.int64()), ("key", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+#: Marks of a token in a piece: it stands twice in the corpus; it is one of the rarest around it.
+SHARED, RARE, MARKS = 1, 2, 2
+#: Pairs of a signature's windows that are looked at together.
+AT_ONCE = 1 << 19
+MEETINGS = "rep long, l int, r int, lead long, ll int, lr int"
 STRETCHES = "lead long, rep long, l int, r int, ll int, lr int"
 GOOD = "rep long, l int, r int, lead long, ll int, lr int"
 
@@ -79,8 +95,37 @@ def _runs_of(mask: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2) - [0, 1]
 
 
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return shingles(column, WIDTH)
+
+
+def _dense_ends(shared: np.ndarray) -> np.ndarray:
+    """For each place the smallest last place of a stretch that begins there or later, has TOKENS tokens at least and SHARE % of them shared. A stretch of twice the
+    size or more has such a half."""
+    n = len(shared)
+    total, end = np.concatenate([[0], np.cumsum(np.where(shared, 100 - SHARE, -SHARE))]), np.full(n, n, np.int64)
+    for size in range(min(2 * TOKENS - 1, n), TOKENS - 1, -1):
+        at = np.flatnonzero(total[size:] >= total[:-size])
+        end[at] = at + size - 1
+    return np.minimum.accumulate(end[::-1])[::-1]
+
+
+def _rarest(rank: np.ndarray) -> np.ndarray:
+    """Which tokens of a piece have at most MISSING rarer ones in some TOKENS tokens in a row. Of a piece that repeats a token, all."""
+    rare = np.ones(len(rank), bool)
+    known = rank[rank >= 0]
+    if len(rank) < TOKENS or len(np.unique(known)) < len(known):
+        return rare
+    rare[:] = False
+    for base in range(0, len(rank) - TOKENS + 1, 1 << 14):
+        rows = np.lib.stride_tricks.sliding_window_view(rank[base : base + (1 << 14) + TOKENS - 1], TOKENS)
+        low = np.argpartition(rows, MISSING, axis=1)[:, : MISSING + 1]
+        rare[(low + (base + np.arange(len(low)))[:, None]).ravel()] = True
+    return rare
+
+
 def _pieces(batches):
-    """Kind 0: shared windows. Kind 1: the tokens of stretches that shared windows cover."""
+    """Kind 0: shared windows. Kind 1: the tokens, with their marks, of stretches that shared windows cover."""
     for batch in batches:
         for part in slices(batch):
             tokens, at, names, first, last = _windows(part.column("text"))
@@ -102,6 +147,21 @@ def _pieces(batches):
             new = np.concatenate([[0], np.flatnonzero(first[1:] + group[1:] * (len(tokens) + 2) > reach[:-1] + 1) + 1])
             last = np.maximum.reduceat(last, new)
             names, df, first, owner = (x[new] for x in (names, df, first, owner))
+            common, where = np.unique(pc.list_flatten(part.column("common")).to_numpy(zero_copy_only=False).astype(np.uint64), return_index=True)
+            often = pc.list_flatten(part.column("often")).to_numpy(zero_copy_only=False)[where]
+            if not len(common):
+                continue
+            place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+            shared, ranks = common[place] == tokens, np.empty(len(common), np.int64)
+            ranks[np.lexsort((common, often))] = np.arange(len(common))
+            rank = np.where(shared, ranks[place], -1)
+            keep = _dense_ends(shared)[first] <= last
+            if not keep.any():
+                continue
+            names, df, first, last, owner = (x[keep] for x in (names, df, first, last, owner))
+            here = np.arange(len(tokens))
+            first = np.minimum.accumulate(np.where(shared, here, len(tokens))[::-1])[::-1][first]
+            last = np.maximum.accumulate(np.where(shared, here, -1))[last]
             keys = part.column("key").to_numpy(zero_copy_only=False)
             n = len(names)
             columns = [np.zeros(n, np.int32), names.astype(np.int64), df.astype(np.int64), keys[owner], (first - at[owner]).astype(np.int32), (last - at[owner]).astype(np.int32)]
@@ -116,7 +176,15 @@ def _pieces(batches):
             who, begin, end = (np.array(x, np.int64) for x in zip(*spans, strict=True))
             size = end - begin + 1
             offsets = np.concatenate([[0], np.cumsum(size)])
-            flat = tokens[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)].astype(np.int64)
+            hot = np.zeros(len(tokens) + 1, np.int64)
+            np.add.at(hot, first[df > SMALL], 1)
+            hot = np.cumsum(hot)
+            rare = np.ones(len(tokens), np.int64)
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                if hot[b] > (hot[a - 1] if a else 0):
+                    rare[a : b + 1] = _rarest(rank[a : b + 1])
+            marked = (tokens << np.uint64(MARKS)).astype(np.int64) + SHARED * shared + RARE * (rare * shared)
+            flat = marked[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)]
             m = len(spans)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
             columns = [np.ones(m, np.int32), np.zeros(m, np.int64), np.zeros(m, np.int64), keys[who], (begin - at[who]).astype(np.int32), (end - at[who]).astype(np.int32)]
@@ -143,8 +211,15 @@ def _block(level: int) -> Column:
     return F.when(F.col("df") > BLOCK**level, F.pmod(F.xxhash64(F.lit(level), "rep"), blocks)).otherwise(F.lit(0))
 
 
+def _all_pairs(windows: DataFrame) -> DataFrame:
+    """All pairs of windows of a signature that are of different documents."""
+    each = windows.groupBy("tok").agg(F.collect_list(F.struct("rep", "l", "r")).alias("ws")).where(F.size("ws") > 1)
+    each = each.select("ws", F.explode("ws").alias("w")).select("w", F.explode("ws").alias("o")).where("w.rep > o.rep")
+    return each.select(F.col("w.rep").alias("rep"), F.col("w.l").alias("l"), F.col("w.r").alias("r"), F.col("o.rep").alias("lead"), F.col("o.l").alias("ll"), F.col("o.r").alias("lr"))
+
+
 def _partners(windows: DataFrame, n: int) -> DataFrame:
-    """Pairs of windows of all levels. df is the number of windows of the signature, so only frequent ones have higher levels."""
+    """Pairs of windows of all levels. df is the number of documents of the signature, so only frequent ones have higher levels."""
     out = _meet(windows, _block(1), n)
     for level in range(1, LEVELS):
         # At most one window goes up from each block: partial aggregates make one of what a task holds of it.
@@ -154,6 +229,109 @@ def _partners(windows: DataFrame, n: int) -> DataFrame:
     return out
 
 
+def _expanded(ask: np.ndarray, code: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of entries that ask, in order of their window: each with all entries of its token, about AT_ONCE pairs at a time. Entries are in order of their token (code), whose
+    first entries are start."""
+    size = start[code[ask] + 1] - start[code[ask]]
+    total, begin = np.cumsum(size), 0
+    while begin < len(ask):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + AT_ONCE, "right")))
+        some, times = ask[begin:end], size[begin:end]
+        yield np.repeat(some, times), np.arange(times.sum()) + np.repeat(start[code[some]] - (np.cumsum(times) - times), times)
+        begin = end
+
+
+def _asking(rows: dict[str, np.ndarray], at: np.ndarray, values: np.ndarray, spans: list) -> Iterator[pa.RecordBatch]:
+    """Pairs of windows of one signature that can add a span or join two components. A window asks for partners by its tokens outside the one verified span that it meets, or
+    by its rarest ones if it meets none or several; windows of two components by tokens that are among the rarest in one."""
+    rep, c, l, r = (rows[x] for x in ("rep", "c", "l", "r"))
+    if rep.min() == rep.max():
+        return
+    w = np.repeat(np.arange(len(rep)), np.diff(at))
+    place = np.arange(at[-1]) - at[w] + l[w]
+    rare, low, high = values & RARE > 0, np.zeros(len(rep), np.int64), np.full(len(rep), -1, np.int64)
+    for k, own in enumerate(spans):
+        met = [x for x in own or () if x["l"] <= r[k] and x["r"] >= l[k]]
+        low[k], high[k] = (met[0]["l"], met[0]["r"]) if len(met) == 1 else (0, -1)
+    probe = np.where(low[w] <= high[w], (place < low[w]) | (place > high[w]), rare)
+    keep = values & SHARED > 0
+    w, values, probe, rare = w[keep], values[keep] >> MARKS, probe[keep], rare[keep]
+    order = np.lexsort((w, values))
+    w, values, probe, rare = (x[order] for x in (w, values, probe, rare))
+    code = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+    start = np.searchsorted(code, np.arange(code[-1] + 2))
+    # The largest component of each token's windows is that of most entries; entries of the others ask.
+    named = np.unique(c, return_inverse=True)[1][w]
+    parts, size = np.unique(code * len(rep) + named, return_counts=True)
+    most = np.zeros(code[-1] + 1, np.int64)
+    by_size = np.argsort(size, kind="stable")
+    most[parts[by_size] // len(rep)] = parts[by_size] % len(rep)
+    # Windows that repeat no token share 35 with a partner: SHARE % of TOKENS.
+    pairs_of = np.unique(w * (code[-1] + 1) + code)
+    held = np.searchsorted(pairs_of, np.arange(len(rep) + 1) * (code[-1] + 1))
+    plain = np.diff(held) == np.bincount(w, minlength=len(rep))
+    by_window = lambda mask: (lambda x: x[np.argsort(w[x], kind="stable")])(np.flatnonzero(mask))
+    for apart, mask in ((False, probe), (True, ~probe & (named != most[code]))):
+        before = np.zeros(0, np.int64)
+        for one, two in _expanded(by_window(mask), code, start):
+            good = rep[w[one]] != rep[w[two]]
+            if apart:
+                good &= (named[one] != named[two]) & (rare[one] | rare[two])
+            x, y = w[one[good]], w[two[good]]
+            pairs = np.unique(np.where(rep[x] > rep[y], x * len(rep) + y, y * len(rep) + x))
+            pairs, before = np.setdiff1d(pairs, before, assume_unique=True), pairs
+            x, y = pairs // len(rep), pairs % len(rep)
+            if not len(x):
+                continue
+            enough = np.zeros(len(x), bool)
+            for base in range(0, len(x), 1 << 13):
+                a, b = x[base : base + (1 << 13)], y[base : base + (1 << 13)]
+                size = held[a + 1] - held[a]
+                row = np.repeat(np.arange(len(a)), size)
+                tokens = pairs_of[np.arange(len(row)) + np.repeat(held[a] - (np.cumsum(size) - size), size)] % (code[-1] + 1)
+                sought = b[row] * (code[-1] + 1) + tokens
+                found = pairs_of[np.minimum(np.searchsorted(pairs_of, sought), len(pairs_of) - 1)] == sought
+                common = np.bincount(row[found], minlength=len(a))
+                enough[base : base + (1 << 13)] = (100 * common >= SHARE * TOKENS) | ~(plain[a] | plain[b])
+            x, y = x[enough], y[enough]
+            columns = [rep[x], l[x], r[x], rep[y], l[y], r[y]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["rep", "l", "r", "lead", "ll", "lr"])
+
+
+def _ask(batches):
+    """Rows come in order of their signature; its windows are held until the next one begins."""
+    held: list[pa.RecordBatch] = []
+
+    def answer():
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at, values = _lists(rows, "tokens")
+        yield from _asking({x: rows.column(x).to_numpy(zero_copy_only=False) for x in ("rep", "c", "l", "r")}, at - at[0], values[at[0] : at[-1]], rows.column("spans").to_pylist())
+
+    for batch in batches:
+        tok = batch.column("tok").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(tok[1:] != tok[:-1]) + 1).tolist(), len(tok)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and b > a and held[-1].column("tok")[0].as_py() != int(tok[a]):
+                yield from answer()
+                held.clear()
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from answer()
+
+
+def _open_pairs(windows: DataFrame, own: DataFrame, good: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """Pairs of windows of frequent signatures that can add a span or join two components (labels), given what is verified: good."""
+    sides = good.select("rep", "l", "r").union(good.select("lead", "ll", "lr"))
+    spans = _runs_of_spans(sides.select(F.col("rep").alias("key"), "l", "r", F.lit(0).alias("partner"))).groupBy("key").agg(F.collect_list(F.struct("l", "r")).alias("spans"))
+    known = spans.join(labels.withColumnRenamed("v", "key"), "key").withColumnRenamed("key", "rep")
+    inside = (F.col("l") >= F.col("pl")) & (F.col("r") <= F.col("pr"))
+    tokens = F.slice("tokens", F.col("l") - F.col("pl") + 1, F.col("r") - F.col("l") + 1)
+    whole = windows.join(own, "rep").where(inside).select("tok", "rep", "l", "r", tokens.alias("tokens")).join(known, "rep", "left")
+    whole = whole.select("tok", "rep", F.coalesce("c", "rep").alias("c"), "l", "r", "tokens", "spans")
+    return whole.repartition(n, "tok").sortWithinPartitions("tok").mapInArrow(_ask, MEETINGS)
+
+
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     column = batch.column(name)
     return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
@@ -232,20 +410,39 @@ def _verify(batches):
         rows = []
         (at1, one), (at2, two) = _lists(batch, "one"), _lists(batch, "two")
         for k, (lead, rep, l, ll) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lead", "rep", "l", "ll")), strict=True)):
-            for a, b, c, d in _similar(one[at1[k] : at1[k + 1]], two[at2[k] : at2[k + 1]]):
+            for a, b, c, d in _similar(one[at1[k] : at1[k + 1]] >> MARKS, two[at2[k] : at2[k + 1]] >> MARKS):
                 rows.append((rep, l + a, l + b, lead, ll + c, ll + d))
         if rows:
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["rep", "l", "r", "lead", "ll", "lr"])
 
 
-def _merged(spans: DataFrame) -> DataFrame:
-    """spans (key, l, r, partner) of a class as maximal disjoint ones in one row: key, spans."""
+def _verified(scratch: Scratch, pairs: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """Similar passages of pairs of windows."""
+    pairs = pairs.repartition(n, "lead", "rep").sortWithinPartitions("lead", "rep", F.col("l") - F.col("ll"))
+    found = scratch.save(pairs.mapInArrow(_candidates, STRETCHES))
+    part = lambda a, b: F.slice("tokens", F.col(a) - F.col("pl") + 1, F.col(b) - F.col(a) + 1)
+    # All windows of a stretch lie in one piece, so each side of a stretch has one row.
+    inside = lambda a, b: (F.col(a) >= F.col("pl")) & (F.col(b) <= F.col("pr"))
+    one = found.join(own, "rep").where(inside("l", "r")).select("lead", "rep", "l", "ll", "lr", part("l", "r").alias("one"))
+    begin, end = F.greatest("ll", "pl"), F.least("lr", "pr")
+    other = F.slice("tokens", begin - F.col("pl") + 1, end - begin + 1)
+    two = one.join(own.withColumnRenamed("rep", "lead"), "lead").where((F.col("ll") <= F.col("pr")) & (F.col("lr") >= F.col("pl")))
+    return scratch.save(two.select("lead", "rep", "l", begin.alias("ll"), "one", other.alias("two")).mapInArrow(_verify, GOOD))
+
+
+def _runs_of_spans(spans: DataFrame) -> DataFrame:
+    """spans (key, l, r, partner) as maximal disjoint ones."""
     line = Window.partitionBy("key").orderBy("l", "r")
     spans = spans.groupBy("key", "l", "r").agg(F.min("partner").alias("partner"))
     spans = spans.withColumn("reach", F.max("r").over(line.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("run", F.sum(F.when(F.col("l") <= F.col("reach"), 0).otherwise(1)).over(line))
-    spans = spans.groupBy("key", "run").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.min("partner").alias("partner"))
+    return spans.groupBy("key", "run").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.min("partner").alias("partner"))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """spans (key, l, r, partner) of a class as maximal disjoint ones in one row: key, spans."""
+    spans = _runs_of_spans(spans)
     span = F.struct(F.col("l").alias("begin_word"), (F.col("r") + WIDTH - 1).alias("end_word"), F.col("partner").alias("partner_id"))
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
@@ -253,7 +450,8 @@ def _merged(spans: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Documents with near-duplicate passages of at least 50 words in documents of different text, or whole in another document of the same text. One row a
     document: doc_id, class_id (smallest doc_id of the same text), n_spans, spans (begin_word, end_word, from 0, end inclusive; partner_id, the smallest
-    document it was verified against). Spans of a document are maximal and do not overlap.
+    document it was verified against), component_id (smallest doc_id reachable by such passages and by equal texts). Spans of a document are maximal and do
+    not overlap.
 
     Null, empty and shorter texts have no passages. Documents without doc_id are left out; rows that share doc_id and text are one document, rows that share
     a doc_id only are one each. Copies of a text get the passages of their class, and from 50 words the whole text as one span, with the class's smallest
@@ -273,29 +471,37 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     classes = classes.where("times = 1").unionByName(classes.where("times > 1").dropDuplicates(["key"]))
     named = shared_tokens(classes.select(F.col("key").alias("doc_id"), "text"), _tokenize, False)
     named = scratch.save(named.where("toks is not null").select(F.col("doc_id").alias("key"), "toks", "dfs"))
-    hold = classes.select("key", "text").join(named.hint("shuffle_hash"), "key")
-    pieces = scratch.save(hold.mapInArrow(_pieces, PIECES))
+    hold = scratch.save(classes.select("key", "text").join(named.hint("shuffle_hash"), "key"))
     scratch.drop(named)
-    pairs = _partners(pieces.where("kind = 0").select("tok", "df", F.col("key").alias("rep"), "l", "r"), n)
-    pairs = pairs.repartition(n, "lead", "rep").sortWithinPartitions("lead", "rep", F.col("l") - F.col("ll"))
-    found = scratch.save(pairs.mapInArrow(_candidates, STRETCHES))
+    common = shared_tokens(hold.select(F.col("key").alias("doc_id"), "text"), _tokens, False).where("toks is not null")
+    common = scratch.save(common.select(F.col("doc_id").alias("key"), F.col("toks").alias("common"), F.col("dfs").alias("often")))
+    pieces = scratch.save(hold.join(common.hint("shuffle_hash"), "key").mapInArrow(_pieces, PIECES))
+    scratch.drop(hold, common)
+    windows = pieces.where("kind = 0").select("tok", "df", F.col("key").alias("rep"), "l", "r")
     own = pieces.where("kind = 1").select(F.col("key").alias("rep"), F.col("l").alias("pl"), F.col("r").alias("pr"), "tokens")
-    part = lambda a, b: F.slice("tokens", F.col(a) - F.col("pl") + 1, F.col(b) - F.col(a) + 1)
-    # All windows of a stretch lie in one piece, so each side of a stretch has one row.
-    inside = lambda a, b: (F.col(a) >= F.col("pl")) & (F.col(b) <= F.col("pr"))
-    one = found.join(own, "rep").where(inside("l", "r")).select("lead", "rep", "l", "ll", "lr", part("l", "r").alias("one"))
-    begin, end = F.greatest("ll", "pl"), F.least("lr", "pr")
-    other = F.slice("tokens", begin - F.col("pl") + 1, end - begin + 1)
-    two = one.join(own.withColumnRenamed("rep", "lead"), "lead").where((F.col("ll") <= F.col("pr")) & (F.col("lr") >= F.col("pl")))
-    good = scratch.save(two.select("lead", "rep", "l", begin.alias("ll"), "one", other.alias("two")).mapInArrow(_verify, GOOD))
+    few = windows.where(F.col("df") <= SMALL).withColumn("n", F.count("*").over(Window.partitionBy("tok")))
+    many = windows.where(F.col("df") > SMALL).unionByName(few.where(F.col("n") > FEW).drop("n"))
+    good = _verified(scratch, _all_pairs(few.where(F.col("n") <= FEW)).unionByName(_partners(many, n)), own, n)
+    labels = components(scratch, good.select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct())
+    more = _verified(scratch, _open_pairs(many, own, good, labels, n), own, n)
+    good = good.unionByName(more)
+    # What the second round joins are components of the first, or documents that had none.
+    ends = more.select("rep", "lead").distinct()
+    for end in ("rep", "lead"):
+        ends = ends.join(labels.select(F.col("v").alias(end), F.col("c").alias(f"{end}_c")), end, "left").withColumn(end, F.coalesce(f"{end}_c", end)).drop(f"{end}_c")
+    ends = scratch.save(ends.where("rep <> lead").select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct())
+    labels = labels.unionByName(ends.select(F.explode(F.array("x", "y")).alias("v")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("c")))
+    joined = components(scratch, ends).select(F.col("v").alias("c"), F.col("c").alias("further"))
+    linked = labels.join(joined, "c", "left").select(F.col("v").alias("key"), F.coalesce("further", "c").alias("c"))
+    linked = linked.join(classes.select("key", "rep"), "key").withColumn("component_id", F.min("rep").over(Window.partitionBy("c"))).select("key", "component_id")
     sides = good.select(F.col("rep").alias("key"), "l", "r", F.col("lead").alias("to")).union(good.select("lead", "ll", "lr", "rep")).distinct()
     names = classes.select(F.col("key").alias("to"), F.col("rep").alias("partner"))
     sides = sides.join(names, "to").select("key", "l", "r", "partner")
     spans = _merged(sides)
     copies = classes.where(F.col("words") >= TOKENS + WIDTH - 1).select("key", F.col("words").alias("whole"))
-    known = classes.select("key", "rep", "other").join(spans, "key", "left").join(copies, "key", "left").where("spans is not null or whole is not null")
+    known = classes.select("key", "rep", "other").join(spans.join(linked, "key"), "key", "left").join(copies, "key", "left").where("spans is not null or whole is not null")
     out = d.select("doc_id", "key").distinct().join(known, "key")
     partner = F.when(F.col("doc_id") == F.col("rep"), F.col("other")).otherwise(F.col("rep"))
     whole = F.array(F.struct(F.lit(0).alias("begin_word"), (F.col("whole") - 1).alias("end_word"), partner.alias("partner_id")))
     spans = F.when(F.col("whole").isNotNull(), whole).otherwise(F.col("spans"))
-    return out.select("doc_id", F.col("rep").alias("class_id"), F.size(spans).alias("n_spans"), spans.alias("spans"))
+    return out.select("doc_id", F.col("rep").alias("class_id"), F.size(spans).alias("n_spans"), spans.alias("spans"), F.coalesce("component_id", "rep").alias("component_id"))

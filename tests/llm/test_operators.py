@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,35 @@ def test_passages_of_frequent_signatures(spark, monkeypatch):
     assert all({(x.begin_word, x.end_word) for x in got[names[2 * k + 1]].spans} == {(30, 89)} for k in range(80))
 
 
+def asked(windows):
+    """What windows (tokens) of one signature, each of a document and a component of its own, ask: rows."""
+    n = len(windows)
+    tokens = [[t << passages.MARKS | passages.SHARED | passages.RARE for t in w] for w in windows]
+    spans = pa.array([None] * n, pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))
+    columns = [pa.array([7] * n), pa.array(range(n)), pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([len(w) - 1 for w in windows], pa.int32()), pa.array(tokens, pa.list_(pa.int64())), spans]
+    batch = pa.RecordBatch.from_arrays(columns, names=["tok", "rep", "c", "l", "r", "tokens", "spans"])
+    return [r for x in passages._ask([batch]) for r in x.to_pylist()]
+
+
+def test_asking_is_answered_by_answers():
+    """Copies ask for one link each, not for all pairs, also where one token stands a hundred times; copies of a part are linked and their spans are whole."""
+    for window in (list(range(60)), [1] * 150):
+        got = asked([window] * 200)
+        assert len(got) < 600
+        assert {x for r in got for x in (r["rep"], r["lead"])} == set(range(200))
+
+
+def test_passage_between_like_gaps():
+    """A passage of 102 tokens, all gaps of which are alike, inside a window with further common tokens."""
+    common = lambda a: "".join("." * 9 if x == "-" else "." * 6 if x == "_" else x for x in a)
+    mask = common("#-" + "#" * 30 + "_" + "#" * 30 + "_" + "#" * 30 + "-#")
+    windows = [[k if x == "#" else 1000 * (side + 1) + k for k, x in enumerate(mask)] for side in (0, 1)]
+    assert not passages._similar(*(np.array(w) for w in windows))
+    got = [r for r in asked(windows) if r["kind"] == 1]
+    assert all((r["l"], r["r"]) == (r["ll"], r["lr"]) for r in got)
+    assert sorted((r["l"], r["r"]) for r in got) == [(10, 75), (46, 111)]  # they overlap, so they become one span
+
+
 def test_licenses(docs, none):
     for r in licenses.scan(docs.select("doc_id", F.col("text").alias("t"), "score"), "t").join(docs.select("doc_id", "text"), "doc_id").collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))

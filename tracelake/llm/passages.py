@@ -12,13 +12,15 @@
 5. Windows of a pair of documents are joined as intervals, one stretch for each course that they follow; a stretch is cut to its first and last common token and verified by
    exact Jaccard similarity of its token sets. Where it fails it is cut at ever smaller gaps.
 6. Of the pairs that frequent signatures have left, those that can still tell something meet as well: a passage outside the spans verified so far, or a link
-   between two components. Such windows share a token outside the spans, or one of the rarest of a stretch (prefix filter). Pairs that do not are skipped:
-   both passages lie in verified spans, and both documents are in one component.
+   between two components. Such windows share a token outside the spans, or one of the rarest of a stretch (prefix filter), and have places in a row of which
+   enough are common. All windows of a signature are looked at together, and each pair that is verified there closes further ones: pairs are skipped
+   where both passages lie in verified spans, and both documents are in one component.
 7. The passages of a class are merged into maximal spans before they go to the class's documents: one row a document, with its component of links.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,9 +56,12 @@ PIECES = "kind int, tok long, df long, key long, l int, r int, tokens array<long
 PIECE_TYPES = pa.schema([("kind", pa.int32()), ("tok", pa.int64()), ("df", pa.int64()), ("key", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 #: Marks of a token in a piece: it stands twice in the corpus; it is one of the rarest around it.
 SHARED, RARE, MARKS = 1, 2, 2
-#: Pairs of a signature's windows that are looked at together.
+#: Places of a signature's windows that are looked at together.
 AT_ONCE = 1 << 19
-MEETINGS = "rep long, l int, r int, lead long, ll int, lr int"
+#: Less than any sum of places.
+NEVER = -(1 << 29)
+ASKED = "kind int, rep long, l int, r int, lead long, ll int, lr int"
+ASKED_TYPES = pa.schema([("kind", pa.int32()), ("rep", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("lead", pa.int64()), ("ll", pa.int32()), ("lr", pa.int32())])
 STRETCHES = "lead long, rep long, l int, r int, ll int, lr int"
 GOOD = "rep long, l int, r int, lead long, ll int, lr int"
 
@@ -229,73 +234,199 @@ def _partners(windows: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def _expanded(ask: np.ndarray, code: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of entries that ask, in order of their window: each with all entries of its token, about AT_ONCE pairs at a time. Entries are in order of their token (code), whose
-    first entries are start."""
-    size = start[code[ask] + 1] - start[code[ask]]
-    total, begin = np.cumsum(size), 0
-    while begin < len(ask):
-        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + AT_ONCE, "right")))
-        some, times = ask[begin:end], size[begin:end]
-        yield np.repeat(some, times), np.arange(times.sum()) + np.repeat(start[code[some]] - (np.cumsum(times) - times), times)
-        begin = end
-
-
-def _asking(rows: dict[str, np.ndarray], at: np.ndarray, values: np.ndarray, spans: list) -> Iterator[pa.RecordBatch]:
-    """Pairs of windows of one signature that can add a span or join two components. A window asks for partners by its tokens outside the one verified span that it meets, or
-    by its rarest ones if it meets none or several; windows of two components by tokens that are among the rarest in one."""
-    rep, c, l, r = (rows[x] for x in ("rep", "c", "l", "r"))
-    if rep.min() == rep.max():
-        return
-    w = np.repeat(np.arange(len(rep)), np.diff(at))
-    place = np.arange(at[-1]) - at[w] + l[w]
-    rare, low, high = values & RARE > 0, np.zeros(len(rep), np.int64), np.full(len(rep), -1, np.int64)
-    for k, own in enumerate(spans):
-        met = [x for x in own or () if x["l"] <= r[k] and x["r"] >= l[k]]
-        low[k], high[k] = (met[0]["l"], met[0]["r"]) if len(met) == 1 else (0, -1)
-    probe = np.where(low[w] <= high[w], (place < low[w]) | (place > high[w]), rare)
-    keep = values & SHARED > 0
-    w, values, probe, rare = w[keep], values[keep] >> MARKS, probe[keep], rare[keep]
-    order = np.lexsort((w, values))
-    w, values, probe, rare = (x[order] for x in (w, values, probe, rare))
-    code = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
-    start = np.searchsorted(code, np.arange(code[-1] + 2))
-    # The largest component of each token's windows is that of most entries; entries of the others ask.
-    named = np.unique(c, return_inverse=True)[1][w]
-    parts, size = np.unique(code * len(rep) + named, return_counts=True)
-    most = np.zeros(code[-1] + 1, np.int64)
-    by_size = np.argsort(size, kind="stable")
-    most[parts[by_size] // len(rep)] = parts[by_size] % len(rep)
-    # Windows that repeat no token share 35 with a partner: SHARE % of TOKENS.
-    pairs_of = np.unique(w * (code[-1] + 1) + code)
-    held = np.searchsorted(pairs_of, np.arange(len(rep) + 1) * (code[-1] + 1))
-    plain = np.diff(held) == np.bincount(w, minlength=len(rep))
-    by_window = lambda mask: (lambda x: x[np.argsort(w[x], kind="stable")])(np.flatnonzero(mask))
-    for apart, mask in ((False, probe), (True, ~probe & (named != most[code]))):
-        before = np.zeros(0, np.int64)
-        for one, two in _expanded(by_window(mask), code, start):
-            good = rep[w[one]] != rep[w[two]]
-            if apart:
-                good &= (named[one] != named[two]) & (rare[one] | rare[two])
-            x, y = w[one[good]], w[two[good]]
-            pairs = np.unique(np.where(rep[x] > rep[y], x * len(rep) + y, y * len(rep) + x))
-            pairs, before = np.setdiff1d(pairs, before, assume_unique=True), pairs
-            x, y = pairs // len(rep), pairs % len(rep)
-            if not len(x):
+def _fewest(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each window (values from at[k] to at[k + 1]) the fewest different tokens that TOKENS of its tokens in a row have."""
+    w, here = np.repeat(np.arange(len(at) - 1), np.diff(at)), np.arange(len(values))
+    order = np.lexsort((here, values, w))
+    again = np.flatnonzero((values[order][1:] == values[order][:-1]) & (w[order][1:] == w[order][:-1]))
+    before = np.full(len(values), -1)
+    before[order[again + 1]] = order[again]
+    # A token counts for the rows that begin after the place where it stood before.
+    count = np.zeros(len(values) + 1, np.int64)
+    np.add.at(count, np.maximum(np.maximum(before + 1, here - TOKENS + 1), at[w]), 1)
+    np.add.at(count, here + 1, -1)
+    count = np.where(here <= np.maximum(at[w + 1] - TOKENS, at[w]), np.cumsum(count)[:-1], TOKENS)
+    return np.minimum.reduceat(count, at[:-1])
+
+
+def _reach(inside: np.ndarray) -> np.ndarray:
+    """From the first to the last true place of each row."""
+    return np.where(inside.any(axis=1), inside.shape[1] - np.argmax(inside[:, ::-1], axis=1) - np.argmax(inside, axis=1), 0)
+
+
+def _best(inside: np.ndarray, gain: int, cost: int, spans: list) -> np.ndarray:
+    """The largest sum that TOKENS or more places in a row have, not all of them in one span, the first and the last one inside: cost off for each place, gain for each
+    that is inside. A row for each pair; NEVER where there are none."""
+    n = inside.shape[1]
+    # The last place where such a row may begin, by its end.
+    begin = np.arange(max(n - TOKENS + 1, 0))
+    for a, b in spans:
+        part = slice(max(a - TOKENS + 1, 0), max(b - TOKENS + 2, 0))
+        begin[part] = np.minimum(begin[part], a - 1)
+    end = np.flatnonzero(begin >= 0)
+    begin = begin[end]
+    if not len(end):
+        return np.full(len(inside), NEVER)
+    total = np.cumsum(np.where(inside, gain - cost, -cost), axis=1, dtype=np.int32)
+    first = np.minimum.accumulate(np.where(inside, total, -NEVER)[:, : n - TOKENS + 1], axis=1)[:, begin]
+    return np.maximum((np.where(inside, total, NEVER)[:, TOKENS - 1 + end] - first).max(axis=1) + gain - cost, NEVER)
+
+
+class _Signature:
+    """Windows of one signature. Those that can still add a span or join two components ask others; what is verified on the way answers further questions.
+
+    A window asks by its tokens outside the one verified span that it meets, or by its rarest ones if it meets none or several spans; where its component is not
+    the largest one, by its rarest tokens too. Pairs whose common tokens can't make a passage are passed over."""
+
+    def __init__(self, rows: dict[str, np.ndarray], at: np.ndarray, values: np.ndarray, spans: list):
+        self.rep, self.label, self.l, self.at = rows["rep"], rows["c"].copy(), rows["l"], at.astype(np.int64)
+        self.names, shared = values >> MARKS, values & SHARED > 0
+        self.shared, self.rare = shared, shared & (values & RARE > 0)
+        self.fewest, self.size, n = _fewest(self.names, self.at), np.diff(self.at), len(self.rep)
+        w = np.repeat(np.arange(n), self.size)
+        known, self.code = np.unique(self.names, return_inverse=True)
+        self.k = len(known)
+        # Each token once a window, though it may stand there a hundred times.
+        pairs = np.unique(w[shared] * self.k + self.code[shared])
+        self.tokens = pairs % self.k
+        self.held = np.searchsorted(pairs, np.arange(n + 1) * self.k)
+        self.plain = np.diff(self.held) == np.bincount(w[shared], minlength=n)
+        order = np.argsort(self.tokens, kind="stable")
+        self.lists, self.start = pairs[order] // self.k, np.searchsorted(self.tokens[order], np.arange(self.k + 1))
+        self.spans = [[(max(x["l"] - int(l), 0), min(x["r"], int(r)) - int(l)) for x in own or () if x["l"] <= r and x["r"] >= l] for own, l, r in zip(spans, rows["l"], rows["r"], strict=True)]
+        labels, size = np.unique(self.label, return_counts=True)
+        self.largest = labels[np.argmax(size)]
+        self.place, self.where, self.met = np.full(self.k, -1), np.full(self.k, -1), [set() for _ in range(n)]
+
+    def _holders(self, x: int, mask: np.ndarray) -> np.ndarray:
+        """Windows that hold one of the tokens of x that mask marks."""
+        codes = np.unique(self.code[self.at[x] : self.at[x + 1]][mask])
+        return np.unique(np.concatenate([self.lists[self.start[t] : self.start[t + 1]] for t in codes])) if len(codes) else np.zeros(0, np.int64)
+
+    def _asked(self, x: int) -> np.ndarray:
+        """Windows that can hold a partner of a passage of x outside its spans."""
+        own, part = self.spans[x], slice(self.at[x], self.at[x + 1])
+        if len(own) != 1:
+            return self._holders(x, self.rare[part])
+        outside = self.shared[part].copy()
+        outside[own[0][0] : own[0][1] + 1] = False
+        return self._holders(x, outside)
+
+    def _likely(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of others that can hold a passage similar to one of x, outside its spans or of another component, most common tokens first.
+
+        If SHARE % of the union of two token sets are common, (100 + SHARE) * common >= SHARE * (size + size of the other). Where windows repeat no token, sizes are
+        numbers of places."""
+        mine = self.tokens[self.held[x] : self.held[x + 1]]
+        self.place[mine] = np.arange(len(mine))
+        part = slice(self.at[x], self.at[x + 1])
+        places = np.where(self.shared[part], self.place[self.code[part]], len(mine))
+        found, counts = [], []
+        step = max(1, AT_ONCE // max(len(places), int(self.size[others].max(initial=1))))
+        for base in range(0, len(others), step):
+            y = others[base : base + step]
+            size = self.held[y + 1] - self.held[y]
+            row = np.repeat(np.arange(len(y)), size)
+            at = self.place[self.tokens[np.arange(len(row)) + np.repeat(self.held[y] - (np.cumsum(size) - size), size)]]
+            row, at = row[at >= 0], at[at >= 0]
+            common = np.bincount(row, minlength=len(y))
+            one = np.zeros((len(y), len(mine) + 1), bool)
+            one[row, at] = True
+            good = (100 + SHARE) * common >= SHARE * (self.fewest[x] + self.fewest[y])
+            if not good.any():
                 continue
-            enough = np.zeros(len(x), bool)
-            for base in range(0, len(x), 1 << 13):
-                a, b = x[base : base + (1 << 13)], y[base : base + (1 << 13)]
-                size = held[a + 1] - held[a]
-                row = np.repeat(np.arange(len(a)), size)
-                tokens = pairs_of[np.arange(len(row)) + np.repeat(held[a] - (np.cumsum(size) - size), size)] % (code[-1] + 1)
-                sought = b[row] * (code[-1] + 1) + tokens
-                found = pairs_of[np.minimum(np.searchsorted(pairs_of, sought), len(pairs_of) - 1)] == sought
-                common = np.bincount(row[found], minlength=len(a))
-                enough[base : base + (1 << 13)] = (100 * common >= SHARE * TOKENS) | ~(plain[a] | plain[b])
-            x, y = x[enough], y[enough]
-            columns = [rep[x], l[x], r[x], rep[y], l[y], r[y]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["rep", "l", "r", "lead", "ll", "lr"])
+            y, common, one = y[good], common[good], one[good][:, places]
+            column = np.arange(int(self.size[y].max(initial=0)))
+            held = column < self.size[y][:, None]
+            there = np.where(held, self.at[y][:, None] + column, 0)
+            two = held & self.shared[there] & (self.place[self.code[there]] >= 0)
+            good = (_reach(one) >= TOKENS) & (_reach(two) >= TOKENS)
+            apart = self.label[y] != self.label[x]
+            for cost, some in ((2 * SHARE, good & self.plain[y]), (SHARE, good & ~self.plain[y])):
+                # Without the spans of x where a link is new whatever it covers.
+                for own, some in (([], some & apart), (self.spans[x], some & ~apart)):
+                    if self.plain[x] and some.any():
+                        least = -_best(two[some], 100 + SHARE, cost, []) if cost > SHARE else SHARE * self.fewest[y[some]]
+                        good[some] = _best(one[some], 100 + SHARE, cost, own) >= least
+            if not self.plain[x] and (some := good & self.plain[y]).any():
+                good[some] = _best(two[some], 100 + SHARE, SHARE, []) >= SHARE * self.fewest[x]
+            found.append(y[good])
+            counts.append(common[good])
+        self.place[mine] = -1
+        found, counts = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (found, counts))
+        return found[np.argsort(-counts, kind="stable")]
+
+    def _add(self, x: int, l: int, r: int) -> bool:
+        """Adds a verified span to those of x. Whether it tells something."""
+        own = self.spans[x]
+        if any(a <= l and r <= b for a, b in own):
+            return False
+        apart = [(a, b) for a, b in own if b < l or a > r]
+        over = [(a, b) for a, b in own if b >= l and a <= r]
+        self.spans[x] = [*apart, (min([l, *(a for a, _ in over)]), max([r, *(b for _, b in over)]))]
+        return True
+
+    def _passage(self, x: int, y: int) -> tuple[int, int, int, int] | None:
+        """Of two windows that repeat no token, the places of two similar passages, not in a span of x: of all that begin and end with common tokens those with most
+        common tokens for their sizes. If common tokens stand in the same order on both sides, none is missed."""
+        one, two = self.code[self.at[x] : self.at[x + 1]], self.code[self.at[y] : self.at[y + 1]]
+        self.where[two] = np.arange(len(two))
+        place = self.where[one]
+        self.where[two] = -1
+        p = np.flatnonzero(place >= 0)
+        q, limit = place[p], p - TOKENS + 1
+        for a, b in self.spans[x]:
+            limit = np.where((p >= a) & (p <= b), np.minimum(limit, a - 1), limit)
+        begin = np.searchsorted(p, limit, "right") - 1
+        if (np.diff(q) > 0).all():
+            begin = np.minimum(begin, np.searchsorted(q, q - TOKENS + 1, "right") - 1)
+        if not len(p) or begin.max() < 0:
+            return None
+        score = (100 + SHARE) * np.arange(len(p)) - SHARE * (p + q)
+        e = int(np.argmax(np.where(begin >= 0, score - np.minimum.accumulate(score)[begin], NEVER)))
+        a = int(np.argmin(score[: begin[e] + 1]))
+        a, b, c, d, common = int(p[a]), int(p[e]), int(q[a : e + 1].min()), int(q[a : e + 1].max()), e - a + 1
+        good = min(b - a, d - c) + 1 >= TOKENS and (100 + SHARE) * common >= SHARE * (b - a + d - c + 2)
+        return (a, b, c, d) if good else None
+
+    def _found(self, x: int, y: int) -> list[tuple[int, int, int, int]]:
+        """Similar passages of x and y that tell something new of x or y, which get them as spans."""
+        out = []
+        # Cuts at gaps miss passages whose gaps are all alike; the best places in a row are grown until nothing is new.
+        while self.plain[x] and self.plain[y] and (found := self._passage(x, y)):
+            self._add(x, *found[:2])
+            self._add(y, *found[2:])
+            out.append(found)
+        for found in _similar(*(self.names[self.at[z] : self.at[z + 1]] for z in (x, y))):
+            new = [self._add(x, *found[:2]), self._add(y, *found[2:])]
+            if any(new) or self.label[x] != self.label[y]:
+                out.append(found)
+        return out
+
+    def ask(self) -> Iterator[tuple]:
+        """(0, both windows): a pair to verify along its whole stretch. (1, both passages): what is verified already. Rows: rep, l, r, lead, ll, lr."""
+        size = self.size
+        for x in np.flatnonzero(size >= TOKENS).tolist():
+            others = self._asked(x)
+            if self.label[x] != self.largest:
+                rare = self._holders(x, self.rare[self.at[x] : self.at[x + 1]])
+                others = np.union1d(others, rare[self.label[rare] != self.label[x]])
+            others = self._likely(x, others[(self.rep[others] != self.rep[x]) & (size[others] >= TOKENS)])
+            others = others[[y not in self.met[x] for y in others.tolist()]] if self.met[x] else others
+            while len(others):
+                y, others = int(others[0]), others[1:]
+                self.met[y].add(x)
+                before, found = list(self.spans[x]), self._found(x, y)
+                for k, (a, b, c, d) in enumerate([(0, size[x] - 1, 0, size[y] - 1), *found] if found else []):
+                    sides = (self.rep[x], self.l[x] + a, self.l[x] + b), (self.rep[y], self.l[y] + c, self.l[y] + d)
+                    yield min(k, 1), *map(int, (*max(sides), *min(sides)))
+                if found and self.label[x] != self.label[y]:
+                    old, kept = (self.label[x], self.label[y]) if self.label[x] != self.largest else (self.label[y], self.label[x])
+                    self.label[self.label == old] = kept
+                elif before == self.spans[x]:
+                    continue
+                if len(others):
+                    others = self._likely(x, others[np.isin(others, self._asked(x)) | (self.label[others] != self.label[x])])
 
 
 def _ask(batches):
@@ -305,7 +436,12 @@ def _ask(batches):
     def answer():
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         at, values = _lists(rows, "tokens")
-        yield from _asking({x: rows.column(x).to_numpy(zero_copy_only=False) for x in ("rep", "c", "l", "r")}, at - at[0], values[at[0] : at[-1]], rows.column("spans").to_pylist())
+        signature = {x: rows.column(x).to_numpy(zero_copy_only=False) for x in ("rep", "c", "l", "r")}
+        if signature["rep"].min() == signature["rep"].max():
+            return
+        asked = _Signature(signature, at - at[0], values[at[0] : at[-1]], rows.column("spans").to_pylist()).ask()
+        while some := list(itertools.islice(asked, 1 << 13)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), ASKED_TYPES.types, strict=True)], schema=ASKED_TYPES)
 
     for batch in batches:
         tok = batch.column("tok").to_numpy(zero_copy_only=False)
@@ -321,7 +457,8 @@ def _ask(batches):
 
 
 def _open_pairs(windows: DataFrame, own: DataFrame, good: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """Pairs of windows of frequent signatures that can add a span or join two components (labels), given what is verified: good."""
+    """Pairs of windows of frequent signatures that can add a span or join two components (labels), given what is verified: good. Kind 0: pairs to verify along
+    their whole stretch; kind 1: passages that are verified already."""
     sides = good.select("rep", "l", "r").union(good.select("lead", "ll", "lr"))
     spans = _runs_of_spans(sides.select(F.col("rep").alias("key"), "l", "r", F.lit(0).alias("partner"))).groupBy("key").agg(F.collect_list(F.struct("l", "r")).alias("spans"))
     known = spans.join(labels.withColumnRenamed("v", "key"), "key").withColumnRenamed("key", "rep")
@@ -329,7 +466,7 @@ def _open_pairs(windows: DataFrame, own: DataFrame, good: DataFrame, labels: Dat
     tokens = F.slice("tokens", F.col("l") - F.col("pl") + 1, F.col("r") - F.col("l") + 1)
     whole = windows.join(own, "rep").where(inside).select("tok", "rep", "l", "r", tokens.alias("tokens")).join(known, "rep", "left")
     whole = whole.select("tok", "rep", F.coalesce("c", "rep").alias("c"), "l", "r", "tokens", "spans")
-    return whole.repartition(n, "tok").sortWithinPartitions("tok").mapInArrow(_ask, MEETINGS)
+    return whole.repartition(n, "tok").sortWithinPartitions("tok").mapInArrow(_ask, ASKED)
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -483,7 +620,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     many = windows.where(F.col("df") > SMALL).unionByName(few.where(F.col("n") > FEW).drop("n"))
     good = _verified(scratch, _all_pairs(few.where(F.col("n") <= FEW)).unionByName(_partners(many, n)), own, n)
     labels = components(scratch, good.select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct())
-    more = _verified(scratch, _open_pairs(many, own, good, labels, n), own, n)
+    asked = scratch.save(_open_pairs(many, own, good, labels, n))
+    pairs, found = (asked.where(F.col("kind") == kind).drop("kind") for kind in (0, 1))
+    more = _verified(scratch, pairs, own, n).unionByName(found)
     good = good.unionByName(more)
     # What the second round joins are components of the first, or documents that had none.
     ends = more.select("rep", "lead").distinct()
